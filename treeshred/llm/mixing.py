@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, place_of, prefix_sums, small, written
+from .common import WORD_PATTERN, prefix_sums, small, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET, REPEATS = 1.5, 2
@@ -44,6 +44,11 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: flo
     return timed.withColumn("target", F.least("_cap", F.coalesce(F.col("weight") * cut, F.col("_cap")))).select("source", "source_size", "weight", "target")
 
 
+def shuffle_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """A hash that any engine can repeat, of the row and the seed."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(F.md5(text.cast("binary")), F.lit("null"))).cast("binary"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, seed: int = 7) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, virtual_finish), a row for each row of (doc_id, text, source, ...).
 
@@ -52,11 +57,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     are sources of their own; repeated rows are rows of their own; without rows or words nothing is taken. The order
     within a source is a hash of doc_id, text and seed, so that runs agree whatever the partitions.
     """
-    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(seed)).alias("h"))
-    base = written(base.withColumn("place", place_of("h", F.lit(seed))), "mix")
+    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), F.col("text"), seed).alias("h"))
+    base = written(base.withColumn("place", F.conv(F.substring("h", 1, 13), 16, 10).cast("double") / float(1 << 52)), "mix")
     totals = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     shares = small(written(targets(totals, weights, budget, repeats), "targets"))
-    queued = prefix_sums(base, "source", ["place", "h", "doc_id"], "size", "before")
+    queued = prefix_sums(base, "source", ["place", "h"], "size", "before")
     s = shares.withColumnRenamed("source", "_s")
     timed = queued.join(s, queued["source"].eqNullSafe(s["_s"])).drop("_s")
     turns = [F.greatest(F.lit(0.0), F.least(F.col("size").cast("double"), F.col("target") - F.col("source_size") * e - F.col("before"))) for e in range(repeats)]
@@ -65,10 +70,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
 
 
 def queue(mixed: DataFrame, repeats: int = REPEATS) -> DataFrame:
-    """The turns that the mix takes, a row each, globally range-sorted by virtual finish time: (doc_id, h, turn, words, virtual_finish)."""
+    """The turns that the mix takes, a row each, globally range-sorted by virtual finish time: (doc_id, source, h, turn, size, words, virtual_finish)."""
     turn = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("turn")
-    rows = mixed.select("doc_id", "h", "size", "source_size", "target", "before", "weight", turn)
+    rows = mixed.select("doc_id", "source", "h", "size", "source_size", "target", "before", "weight", turn)
     start = F.col("source_size") * F.col("turn") + F.col("before")
     rows = rows.withColumn("words", F.floor(F.greatest(F.lit(0.0), F.least(F.col("size").cast("double"), F.col("target") - start)) + F.lit(1e-6)).cast("long"))
-    rows = written(rows.where("words > 0").select("doc_id", "h", "turn", "size", "words", ((start + F.col("size")) / F.col("weight")).alias("virtual_finish")), "queue")
+    rows = written(rows.where("words > 0").select("doc_id", "source", "h", "turn", "size", "words", ((start + F.col("size")) / F.col("weight")).alias("virtual_finish")), "queue")
     return rows.orderBy("virtual_finish", "doc_id", "h")
