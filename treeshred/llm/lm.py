@@ -26,6 +26,7 @@ from .common import _STEP, Words, held_out, mix, slices, texts, written
 
 DISCOUNT, HOT = 0.9, 1e-3
 START, END = np.uint64(0x51A27), np.uint64(0xE7D)  # as word hashes: of no word, up to chance
+SHORT = np.uint64((1 << 40) - 1)  # what of a word's hash tells it from other words after the same history
 BLOCK_BYTES, BUCKET_WORDS = 6 << 20, 1 << 20
 
 
@@ -55,8 +56,9 @@ class Block:
         self.name_bucket = (self.names % np.uint64(buckets)).astype(np.int64)
         self.name_order = np.lexsort((self.names, self.name_bucket))
         # Bigrams, by the place of their history.
-        keys = mix(history * np.uint64(_STEP) + self.word)
-        self.keys, first, self.key_at = np.unique(keys, return_index=True, return_inverse=True)
+        self.keys, first, self.key_at = np.unique(mix(history * np.uint64(_STEP) + (self.word & SHORT)), return_index=True, return_inverse=True)
+        self.short = self.word[first] & SHORT
+        del history
         self.key_counts = np.bincount(self.key_at[self.train], minlength=len(self.keys))
         self.key_history = self.history_at[first]
         own = self.names[self.key_history]
@@ -71,13 +73,24 @@ class Block:
             k = b[slice(*np.searchsorted(self.key_bucket[b], [bucket, bucket + 1]))]
             own = self.names[self.key_history[k]]
             edge = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
-            yield int(bucket), self.names[u], self.counts[u], self.keys[k], own[edge], np.diff(np.append(edge, len(own))), self.key_counts[k]
+            yield int(bucket), self.names[u], self.counts[u], self.short[k], own[edge], np.diff(np.append(edge, len(own))), self.key_counts[k]
 
 
 def _bytes(x: np.ndarray, kind: str) -> bytes:
+    """As little-endian numbers; u5: the low five bytes of each."""
+    if kind == "u5":
+        return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
     return x.astype(kind).tobytes()
 
 
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    if kind == "u5":
+        out = np.zeros((len(data) // 5, 8), np.uint8)
+        out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+        return out.view("<u8")[:, 0]
+    return np.frombuffer(data, kind)
+
+
 def _unique_sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     names, first, at = np.unique(keys, return_index=True, return_inverse=True)
     return names, first, at, np.bincount(at, counts, len(names)).astype(np.int64)
@@ -85,12 +98,13 @@ def _unique_sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
 
 def answer(group: pa.Table, hot: np.ndarray) -> pa.Table:
     """Adds a bucket's lists and answers each in its own order; the first answer carries the bucket's totals."""
-    col = lambda name, kind: [np.frombuffer(x, kind) for x in group.column(name).to_pylist()]
+    col = lambda name, kind: [_numbers(x, kind) for x in group.column(name).to_pylist()]
     names, n_counts = col("names", "<u8"), col("counts", "<u4")
-    keys, k_counts, own, runs = col("keys", "<u8"), col("key_counts", "<u4"), col("own", "<u8"), col("runs", "<u4")
+    keys, k_counts, own, runs = col("short", "u5"), col("key_counts", "<u4"), col("own", "<u8"), col("runs", "<u4")
     join = lambda x, kind: np.concatenate([*x, np.zeros(0, kind)])
-    all_names, all_keys = join(names, np.uint64), join(keys, np.uint64)
+    all_names = join(names, np.uint64)
     histories = np.repeat(join(own, np.uint64), join(runs, np.uint32))
+    all_keys = mix(histories * np.uint64(_STEP) + join(keys, np.uint64))
     words, _, word_at, c = _unique_sums(all_names, join(n_counts, np.uint32))
     _, first, key_at, ck = _unique_sums(all_keys, join(k_counts, np.uint32))
     seen, arcs = np.unique(histories[first][ck > 0], return_counts=True)
@@ -157,10 +171,10 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
         found = list(block_of(t).requests())
         own = t.column("block")[0].as_py()
         cols = list(zip(*found, strict=True))
-        kinds = {"names": "<u8", "counts": "<u4", "keys": "<u8", "own": "<u8", "runs": "<u4", "key_counts": "<u4"}
+        kinds = {"names": "<u8", "counts": "<u4", "short": "u5", "own": "<u8", "runs": "<u4", "key_counts": "<u4"}
         return pa.table({"bucket": pa.array(cols[0], pa.int64()), "block": pa.array([own] * len(found), pa.int64()), **{k: pa.array([_bytes(x, v) for x in cols[i + 1]], pa.binary()) for i, (k, v) in enumerate(kinds.items())}})
 
-    asked = rows.groupBy("block").applyInArrow(ask, "bucket long, block long, names binary, counts binary, keys binary, own binary, runs binary, key_counts binary")
+    asked = rows.groupBy("block").applyInArrow(ask, "bucket long, block long, names binary, counts binary, short binary, own binary, runs binary, key_counts binary")
     answers = written(asked.groupBy("bucket").applyInArrow(lambda t: answer(t, hot), "block long, bucket long, c binary, n binary, ck binary, tokens long, types long, hot binary, hot_n binary"), "answers")
     totals = answers.agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = totals[0] or 0, totals[1] or 0
