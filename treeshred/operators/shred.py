@@ -47,12 +47,12 @@ def placed(docs: DataFrame) -> DataFrame:
     last = F.last(F.when(opens | (F.col("own") & (kind == "close")), F.struct("node_id", "name", kind.alias("kind"))), ignorenulls=True).over(before)
     shut = F.last(F.when(F.col("own") & kind.isin("open", "close"), F.struct("seq", "end", "node_id", "kind")), ignorenulls=True).over(after)
     found = spread.withColumn("_last", last).withColumn("_shut", shut)
-    still = F.col("_last.kind") != "close"
+    still, opened = F.col("_last.kind") != "close", F.col("_last.kind") == "open"
     matched = found.select(
         "*",
         F.when(~F.col("own") & still, F.col("_last.node_id")).alias("parent_id"),
-        F.when(F.col("own") & (kind == "close") & still, F.col("_last.node_id")).alias("open_id"),
-        F.when(F.col("own") & (kind == "close") & still, F.col("_last.name")).alias("open_name"),
+        F.when(F.col("own") & (kind == "close") & opened, F.col("_last.node_id")).alias("open_id"),
+        F.when(F.col("own") & (kind == "close") & opened, F.col("_last.name")).alias("open_name"),
         F.when(opens & (kind == "open") & (F.col("_shut.kind") == "close"), F.col("_shut")).alias("_close"),
     )
     # An open tag's two rows are one again.
