@@ -164,14 +164,18 @@ def place_of(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-def prefix_sums(df: DataFrame, group: str, order: list[str], amount: str, out: str, per_range: int = 20_000) -> DataFrame:
+def prefix_sums(df: DataFrame, group: str, order: list[str], amount: str, out: str, least: int = 1_000, most: int = 50_000) -> DataFrame:
     """Adds ``out``: the sum of ``amount`` over the rows of the group that stand before this one.
 
     The first name in ``order`` is a column in [0, 1) that spreads rows evenly, such as place_of(). A group of any
-    size is cut into ranges of about ``per_range`` rows by it: one window sums inside a range, and the ranges' totals
-    (one row each) are summed by another, so no task gets a whole group. Pass a written table: it is read three times.
+    size is cut into ranges by it, of ``least`` to ``most`` rows and else of a quarter of a partition's share: one window
+    sums inside a range, and the ranges' totals (one row each) are summed by another, so no task gets a whole group.
+    Pass a written table: it is read three times.
     """
-    counts = small(written(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(group, "_g"), "counts"))
+    counts = written(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(group, "_g"), "counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    per_range = min(most, max(least, total // (4 * partitions(df.sparkSession))))
+    counts = small(counts)
     cut = df.join(counts, df[group].eqNullSafe(counts["_g"])).withColumn("_b", F.floor(F.col(order[0]) * F.ceil(F.col("_n") / per_range)).cast("long")).drop("_n", "_g")
     sums = cut.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_rb")).agg(F.sum(amount).alias("_s"))
     before = Window.partitionBy("_g").orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
