@@ -47,7 +47,15 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+CHUNK = 1 << 19
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _both_powers(n: int) -> list[np.ndarray]:
+    if n > len(_POWERS[0]):
+        size = max(CHUNK + 1, n)
+        _POWERS[:] = _powers(_STEP, size), _powers(_BACK, size)
+    return _POWERS
 
 
 class Words:
@@ -66,14 +74,18 @@ class Words:
         self.hashes = self._hashes()
 
     def _hashes(self) -> np.ndarray:
-        size = 1 << max(16, (len(self.data)).bit_length())
-        if size not in _POWERS:
-            _POWERS.clear()
-            _POWERS[size] = _powers(_STEP, size), _powers(_BACK, size)
-        up, down = _POWERS[size]
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        """Polynomial hashes from running sums, over stretches of about CHUNK bytes; a stretch's place doesn't matter."""
+        out, i = np.empty(len(self.starts), np.uint64), 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + CHUNK, "right")))
+            data = self.data[self.starts[i] : self.ends[j - 1]]
+            up, down = _both_powers(len(data) + 1)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+            s, e = self.starts[i:j] - self.starts[i], self.ends[i:j] - self.starts[i]
+            out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+            i = j
+        return out
 
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.first[i] : self.first[i + 1]]
