@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,13 +78,18 @@ class Block:
 
 
 def _bytes(x: np.ndarray, kind: str) -> bytes:
-    """As little-endian numbers; u5: the low five bytes of each."""
+    """As little-endian numbers; u5: the low five bytes of each; z: counts, which are small, compressed."""
+    if kind == "z":
+        return zstandard.ZstdCompressor(level=1).compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
     if kind == "u5":
         return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
     return x.astype(kind).tobytes()
 
 
 def _numbers(data: bytes, kind: str) -> np.ndarray:
+    if kind == "z":
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+        return np.ascontiguousarray(planes.T).view("<u8")[:, 0]
     if kind == "u5":
         out = np.zeros((len(data) // 5, 8), np.uint8)
         out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
@@ -99,14 +105,14 @@ def _unique_sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
 def answer(group: pa.Table, hot: np.ndarray) -> pa.Table:
     """Adds a bucket's lists and answers each in its own order; the first answer carries the bucket's totals."""
     col = lambda name, kind: [_numbers(x, kind) for x in group.column(name).to_pylist()]
-    names, n_counts = col("names", "<u8"), col("counts", "<u4")
-    keys, k_counts, own, runs = col("short", "u5"), col("key_counts", "<u4"), col("own", "<u8"), col("runs", "<u4")
+    names, n_counts = col("names", "<u8"), col("counts", "z")
+    keys, k_counts, own, runs = col("short", "u5"), col("key_counts", "z"), col("own", "<u8"), col("runs", "z")
     join = lambda x, kind: np.concatenate([*x, np.zeros(0, kind)])
     all_names = join(names, np.uint64)
-    histories = np.repeat(join(own, np.uint64), join(runs, np.uint32))
+    histories = np.repeat(join(own, np.uint64), join(runs, np.uint64).astype(np.int64))
     all_keys = mix(histories * np.uint64(_STEP) + join(keys, np.uint64))
-    words, _, word_at, c = _unique_sums(all_names, join(n_counts, np.uint32))
-    _, first, key_at, ck = _unique_sums(all_keys, join(k_counts, np.uint32))
+    words, _, word_at, c = _unique_sums(all_names, join(n_counts, np.uint64))
+    _, first, key_at, ck = _unique_sums(all_keys, join(k_counts, np.uint64))
     seen, arcs = np.unique(histories[first][ck > 0], return_counts=True)
     n = np.zeros(len(words), np.int64)
     if len(seen) and len(words):
@@ -118,7 +124,7 @@ def answer(group: pa.Table, hot: np.ndarray) -> pa.Table:
     for row, (a, b) in enumerate(zip(names, keys, strict=True)):
         u, v = word_at[i : i + len(a)], key_at[k : k + len(b)]
         i, k = i + len(a), k + len(b)
-        out.append((_bytes(c[u], "<u8"), _bytes(n[u], "<u8"), _bytes(ck[v], "<u4"), int(c[own_words].sum()) if not row else 0, int((c[own_words] > 0).sum()) if not row else 0, _bytes(seen[warm], "<u8") if not row else b"", _bytes(arcs[warm], "<u8") if not row else b""))
+        out.append((_bytes(c[u], "z"), _bytes(n[u], "z"), _bytes(ck[v], "z"), int(c[own_words].sum()) if not row else 0, int((c[own_words] > 0).sum()) if not row else 0, _bytes(seen[warm], "<u8") if not row else b"", _bytes(arcs[warm], "<u8") if not row else b""))
     parts = list(zip(*out, strict=True))
     return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), **{name: pa.array(parts[i], pa.binary() if name not in ("tokens", "types") else pa.int64()) for i, name in enumerate(("c", "n", "ck", "tokens", "types", "hot", "hot_n"))}})
 
@@ -171,7 +177,7 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
         found = list(block_of(t).requests())
         own = t.column("block")[0].as_py()
         cols = list(zip(*found, strict=True))
-        kinds = {"names": "<u8", "counts": "<u4", "short": "u5", "own": "<u8", "runs": "<u4", "key_counts": "<u4"}
+        kinds = {"names": "<u8", "counts": "z", "short": "u5", "own": "<u8", "runs": "z", "key_counts": "z"}
         return pa.table({"bucket": pa.array(cols[0], pa.int64()), "block": pa.array([own] * len(found), pa.int64()), **{k: pa.array([_bytes(x, v) for x in cols[i + 1]], pa.binary()) for i, (k, v) in enumerate(kinds.items())}})
 
     asked = rows.groupBy("block").applyInArrow(ask, "bucket long, block long, names binary, counts binary, short binary, own binary, runs binary, key_counts binary")
@@ -188,9 +194,9 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     def read(t: pa.Table, found: pa.Table) -> pa.Table:
         b = block_of(t)
         found = found.sort_by("bucket")
-        col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in found.column(name).to_pylist()]).astype(np.int64)
+        col = lambda name, kind: np.concatenate([_numbers(x, kind) for x in found.column(name).to_pylist()]).astype(np.int64)
         c, n, ck = np.zeros(len(b.names), np.int64), np.zeros(len(b.names), np.int64), np.zeros(len(b.keys), np.int64)
-        c[b.name_order], n[b.name_order], ck[b.key_order] = col("c", "<u8"), col("n", "<u8"), col("ck", "<u4")
+        c[b.name_order], n[b.name_order], ck[b.key_order] = col("c", "z"), col("n", "z"), col("ck", "z")
         if len(hot_words):
             at = np.minimum(np.searchsorted(hot_words, b.names), len(hot_words) - 1)
             n = np.where(hot_words[at] == b.names, hot_arcs[at], n)
