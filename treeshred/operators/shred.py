@@ -21,7 +21,8 @@ KINDS = {"document": "Document", "text": "Text", "comment": "Comment", "cdata":
 def placed(docs: DataFrame) -> DataFrame:
     """Lexemes with their byte offset, level (an element's own depth for its tags), running node count and, for a tag,
     its match: ``open_id``, ``open_name`` of the element that a closing tag meets, ``close_seq``, ``close_end`` and
-    ``close_nodes`` of the tag that closes an open one, ``parent_id`` of all."""
+    ``close_nodes`` of the tag that closes an open one; of nodes ``parent_id`` and ``child_pos``. Two sorts, by seq and
+    by depth and seq, serve it all."""
     by_seq = Window.partitionBy("doc_id").orderBy("seq")
     running = by_seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kind = F.col("kind")
@@ -31,33 +32,35 @@ def placed(docs: DataFrame) -> DataFrame:
         .withColumn("_after", F.sum(step).over(running))
         .withColumn("end", F.sum("size").over(running).cast("int"))
         .withColumn("node_id", F.count(F.when(kind != "close", 1)).over(running).cast("int"))
+        .withColumn("_above", F.lag(kind.isin("open", "document")).over(by_seq))
         .withColumn("start", (F.col("end") - F.col("size")).cast("int"))
         .withColumn("name", F.when(kind.isin("open", "empty", "close"), tag_name(F.col("raw"))))
         .withColumn("depth", F.when(kind.isin("open", "document"), F.col("_after")).otherwise(F.col("_after") + 1).cast("int"))
-        .drop("_after")
+        # What follows an opening tag is its first child, or closes it; a first child's parent is the node before it.
+        .withColumn("_parent", F.when((kind != "close") & F.col("_above"), F.col("node_id") - 1))
+        .withColumn("_tag", F.when(kind.isin("open", "close", "document"), F.struct("seq", "end", "node_id", "name", "kind")))
+        .drop("_after", "_above")
     )
-    # A row stands at its own level, if it opens or closes it, and below its parent's.
-    own = F.when(kind.isin("open", "close", "document"), F.array(F.struct(F.col("depth").alias("level"), F.lit(True).alias("own")))).otherwise(F.array())
-    below = F.when(kind.isin("close", "document"), F.array()).otherwise(F.array(F.struct((F.col("depth") - 1).alias("level"), F.lit(False).alias("own"))))
-    spread = rows.withColumn("_at", F.explode(F.concat(own.cast("array<struct<level:int,own:boolean>>"), below.cast("array<struct<level:int,own:boolean>>")))).select("*", "_at.level", "_at.own").drop("_at")
-    opens = F.col("own") & kind.isin("open", "document")
-    before = Window.partitionBy("doc_id", "level").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("doc_id", "level").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    # The last tag at this level: an opening one, still open, or a closing one.
-    last = F.last(F.when(opens | (F.col("own") & (kind == "close")), F.struct("node_id", "name", kind.alias("kind"))), ignorenulls=True).over(before)
-    shut = F.last(F.when(F.col("own") & kind.isin("open", "close"), F.struct("seq", "end", "node_id", "kind")), ignorenulls=True).over(after)
-    found = spread.withColumn("_last", last).withColumn("_shut", shut)
-    still, opened = F.col("_last.kind") != "close", F.col("_last.kind") == "open"
-    matched = found.select(
-        "*",
-        F.when(~F.col("own") & still, F.col("_last.node_id")).alias("parent_id"),
-        F.when(F.col("own") & (kind == "close") & opened, F.col("_last.node_id")).alias("open_id"),
-        F.when(F.col("own") & (kind == "close") & opened, F.col("_last.name")).alias("open_name"),
-        F.when(opens & (kind == "open") & (F.col("_shut.kind") == "close"), F.col("_shut")).alias("_close"),
+    # Along one depth the children of a node are neighbours, and a tag's match is the next or last tag.
+    level = Window.partitionBy("doc_id", "depth").orderBy("seq")
+    so_far = level.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = (
+        rows.withColumn("_last", F.expr("lag(_tag) ignore nulls over (partition by doc_id, depth order by seq)"))
+        .withColumn("_next", F.expr("lead(_tag) ignore nulls over (partition by doc_id, depth order by seq)"))
+        .withColumn("parent_id", F.when(kind != "close", F.last("_parent", ignorenulls=True).over(so_far)))
+        .withColumn("_nth", F.count(F.when(kind != "close", 1)).over(so_far))
+        .withColumn("_first", F.last(F.when(F.col("_parent").isNotNull(), F.col("_nth")), ignorenulls=True).over(so_far))
     )
-    # An open tag's two rows are one again.
-    whole = matched.groupBy("doc_id", "seq").agg(*[F.first(c).alias(c) for c in ("raw", "kind", "size", "complete", "start", "end", "node_id", "name", "depth")], F.max("parent_id").alias("parent_id"), F.max("open_id").alias("open_id"), F.max("open_name").alias("open_name"), F.max("_close").alias("_close"))
-    return whole.select("*", F.col("_close.seq").alias("close_seq"), F.col("_close.end").alias("close_end"), F.col("_close.node_id").alias("close_nodes")).drop("_close")
+    shuts, shut = (kind == "close") & (F.col("_last.kind") == "open"), (kind == "open") & (F.col("_next.kind") == "close")
+    return found.select(
+        "doc_id", "seq", "raw", "kind", "size", "complete", "start", "end", "node_id", "name", "depth", "parent_id",
+        F.when(F.col("parent_id").isNotNull(), F.col("_nth") - F.col("_first") + 1).cast("int").alias("child_pos"),
+        F.when(shuts, F.col("_last.node_id")).alias("open_id"),
+        F.when(shuts, F.col("_last.name")).alias("open_name"),
+        F.when(shut, F.col("_next.seq")).alias("close_seq"),
+        F.when(shut, F.col("_next.end")).alias("close_end"),
+        F.when(shut, F.col("_next.node_id")).alias("close_nodes"),
+    )
 
 
 def attrs_of(raw: Column, decode: bool = True) -> Column:
@@ -68,7 +71,7 @@ def attrs_of(raw: Column, decode: bool = True) -> Column:
 
 def nodes(docs: DataFrame, decode: bool = True) -> DataFrame:
     """The nodes of (doc_id, source), columns as in COLUMNS. Documents that don't lex or nest give what can be told of
-    them; validate() says which these are. Without ``decode`` entities stay as they are written."""
+    them (a node after a stray closing tag has no parent and no child_pos); validate() says which these are. Without ``decode`` entities stay as they are written."""
     raw, kind = F.col("raw"), F.col("kind")
     inner = lambda a, b: F.substring(raw, F.lit(a + 1), F.length(raw) - a - b)
     pi_body = F.ltrim(F.regexp_replace(raw, rf"^<\?{NAME_CHARS}*+|\?>$", ""), F.lit(" \t\r\n"))
@@ -83,14 +86,13 @@ def nodes(docs: DataFrame, decode: bool = True) -> DataFrame:
     for lexeme, node in KINDS.items():
         name = F.when(kind == lexeme, F.lit(node)).otherwise(name)
     whole = Window.partitionBy("doc_id")
-    siblings = Window.partitionBy("doc_id", "parent_id").orderBy("node_id")
     rows = placed(docs).withColumn("_most", F.max("node_id").over(whole)).withColumn("_end", F.max("end").over(whole)).where(kind != "close")
     is_doc = kind == "document"
     return rows.select(
         "doc_id",
         "node_id",
         "parent_id",
-        F.when(~is_doc, F.row_number().over(siblings)).alias("child_pos"),
+        "child_pos",
         name.alias("kind"),
         F.when(kind == "pi", pi_target(raw)).otherwise(F.col("name")).alias("tag"),
         value.alias("value"),
