@@ -29,11 +29,10 @@ def escape_attr(x: Column) -> Column:
 
 def _code_point(ref: Column) -> Column:
     """The number in a character reference, null if it is no Unicode scalar value."""
-    is_hex = F.substring(ref, 3, 1) == "x"
-    digits = F.ltrim(F.when(is_hex, F.regexp_extract(ref, "^&#x([0-9a-fA-F]+);$", 1)).otherwise(F.regexp_extract(ref, "^&#([0-9]+);$", 1)), F.lit("0"))
-    digits = F.when(digits == "", "0").otherwise(digits)
-    value = F.when(F.length(digits) <= 8, F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("long"))
-    return F.when((value <= 0x10FFFF) & ~value.between(0xD800, 0xDFFF), value)
+    digits = F.regexp_extract(ref, "^&#x?0*([0-9a-fA-F]{1,8});$", 1)
+    base = F.when(F.substring(ref, 3, 1) == "x", 16).otherwise(10)
+    value = F.call_function("conv", F.nullif(digits, F.lit("")), base, F.lit(10)).cast("long")
+    return F.when(value.between(0, 0xD7FF) | value.between(0xE000, 0x10FFFF), value)
 
 
 def _decoded(part: Column) -> Column:
