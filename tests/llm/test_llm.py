@@ -378,6 +378,18 @@ def test_decontamination(spark, docs, none):
     assert {x.doc_id for x in decontam.clean(rows, bench).collect()} == {d for d, _ in leaky} - {d for d, _ in want if d is not None}
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    r = np.random.default_rng(8)
+    word = lambda: b"w%d" % r.integers(0, 300)
+    items = [(i, b" ".join(word() for _ in range(r.integers(3, 40)))) for i in range(60)]
+    text = b" ".join(x for _ in range(200) for x in (items[r.integers(0, 60)][1], word(), items[r.integers(0, 60)][1][: r.integers(0, 90)]))
+    known, words = decontam.Items(items), decontam.Words([text]).hashes
+    whole = known.leaks(words)
+    assert len(whole) >= 50 and all(like == 1 for like, _ in whole.values())
+    monkeypatch.setattr(decontam, "PIECE", 16)
+    assert known.leaks(words) == whole
+
+
 def test_blocks_guarantee_the_radius():
     r = np.random.default_rng(5)
     item = int(r.integers(0, 1 << 63))

@@ -25,6 +25,7 @@ from .common import Words, shingle_hashes, slices, texts
 
 SIZE, RADIUS, BLOCKS = 5, 22, 4
 MOST_ITEM_BYTES = 64 << 20
+PIECE = 1 << 17  # shingles fingerprinted at once: 34 MB of running sums
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -65,6 +66,11 @@ class Items:
                 s = shingle_hashes(w.hashes, SIZE)
                 self.items.append((item_id, len(w.hashes), s, Counter(s.tolist()), int(fingerprints(running(s), len(s))[0])))
         self.all = np.unique(np.concatenate([x[2] for x in self.items])) if self.items else np.zeros(0, np.uint64)
+        own = [np.unique(x[2]) for x in self.items]
+        shingle_of = np.searchsorted(self.all, np.concatenate(own)) if own else np.zeros(0, np.int64)
+        # The items that hold each shingle stand at owner_first[k]..owner_first[k + 1] of owners.
+        self.owners = np.repeat(np.arange(len(own)), [len(x) for x in own])[np.argsort(shingle_of, kind="stable")]
+        self.owner_first = np.concatenate(([0], np.cumsum(np.bincount(shingle_of, minlength=len(self.all)))))
         self.some = np.zeros(1 << 22, bool)  # by the first 22 bits: whether any item has such a shingle
         self.some[(self.all >> np.uint64(42)).astype(np.int64)] = True
         steps = grid([len(x[2]) for x in self.items if x[1] >= SIZE])
@@ -72,6 +78,8 @@ class Items:
         for i, x in enumerate(self.items):
             if x[1] >= SIZE:
                 self.by_step.setdefault(steps[len(x[2])], []).append(i)
+        self.step_of = {i: step for step, who in self.by_step.items() for i in who}
+        self.sizes = np.array([len(x[2]) for x in self.items])
         self.short = [i for i, x in enumerate(self.items) if x[1] < SIZE]
         self.near = {}
         block = np.arange(1 << 16, dtype=np.uint32)
@@ -82,13 +90,28 @@ class Items:
                     table[b] |= _POP[block ^ np.uint32((self.items[i][4] >> (16 * b)) & 0xFFFF)] <= radius // BLOCKS
             self.near[step] = table
 
-    def windows(self, hashes: np.ndarray, before: np.ndarray) -> list[tuple[int, int]]:
-        """(item, place) of every window within the radius of an item of its length, unless no item-sized window around
-        it can be similar: ``before`` counts the shingles of any item up to each place."""
+    def possible(self, hits: np.ndarray) -> dict[int, list[int]]:
+        """By step, the items that can stand among ``hits``, a stretch's shingles that some item has: a window's
+        similarity with an item is at most the number of the item's shingles in it over the item's size."""
+        which, many = np.unique(np.searchsorted(self.all, hits), return_counts=True)
+        n = self.owner_first[which + 1] - self.owner_first[which]
+        at = np.repeat(self.owner_first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        items, of = np.unique(self.owners[at], return_inverse=True)
+        found = np.bincount(of, np.repeat(many, n))
+        out: dict[int, list[int]] = {}
+        for i in items[found >= self.threshold * self.sizes[items]].tolist():
+            if i in self.step_of:
+                out.setdefault(self.step_of[i], []).append(i)
+        return out
+
+    def windows(self, hashes: np.ndarray, before: np.ndarray, begin: int, by_step: dict[int, list[int]]) -> list[tuple[int, int]]:
+        """(item, place) of every window of ``hashes`` within the radius of an item of its length, unless no item-sized
+        window around it can be similar: ``before`` counts the whole text's shingles of any item up to each place;
+        ``hashes`` begin at ``begin``."""
         found = []
-        sums = running(hashes)
-        n = len(hashes)
-        for step, who in self.by_step.items():
+        sums = running(hashes) if by_step else None
+        n, end = len(hashes), len(before) - 1
+        for step, who in by_step.items():
             length = min(step, n)  # a text a little shorter than the step is one window
             if length < 0.7 * step:
                 continue
@@ -102,7 +125,8 @@ class Items:
             for i in who:
                 near = at[_POP[(chosen ^ np.uint64(self.items[i][4])).view(np.uint16).reshape(-1, 4)].sum(1) <= self.radius]
                 size = len(self.items[i][2])
-                around = before[np.minimum(n, near + size + size // 4)] - before[np.maximum(0, near - size // 4)]
+                near = near + begin
+                around = before[np.minimum(end, near + size + size // 4)] - before[np.maximum(0, near - size // 4)]
                 found.extend((i, int(k)) for k in near[around >= self.threshold * size])
         return found
 
@@ -118,12 +142,15 @@ class Items:
         # as far as the longest window reaches, are what is fingerprinted.
         candidates = []
         if before[-1] and len(words) >= SIZE and self.by_step:
-            reach = max(self.by_step) + max(self.by_step) // 4
+            longest = max(self.by_step)
+            reach = longest + longest // 4
             at = np.flatnonzero(hit)
             gap = np.flatnonzero(np.diff(at) > 2 * reach)
             for a, b in zip(at[np.append(0, gap + 1)], at[np.append(gap, len(at) - 1)], strict=True):
                 lo, hi = max(0, int(a) - reach), min(len(hashes), int(b) + reach)
-                candidates += [(i, lo + k) for i, k in self.windows(hashes[lo:hi], before[lo : hi + 1] - before[lo])]
+                by_step = self.possible(hashes[lo:hi][hit[lo:hi]])
+                for k in range(lo, max(lo + 1, hi - longest), PIECE):
+                    candidates += self.windows(hashes[k : min(hi, k + PIECE + longest)], before, k, by_step)
         done: set[tuple[int, int]] = set()
         for i, place in candidates:
             item_id, _, shingles, weights, _ = self.items[i]
