@@ -1,5 +1,7 @@
 """The node relation and its operators, on small documents with answers written by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,10 +9,10 @@ from treeshred.functions import scalars
 from treeshred.operators import dtd, nav
 from treeshred.operators.build import cdata, comment, h
 from treeshred.operators.lex import tokens
-from treeshred.operators.mutate import push, push_first, remove, set_attr
+from treeshred.operators.mutate import push, push_first, remove, replace, set_attr
 from treeshred.operators.serialize import serialize
 from treeshred.operators.shred import nodes
-from treeshred.operators.validate import validate
+from treeshred.operators.validate import require_valid, validate
 from treeshred.plans.sql import register
 from treeshred.plans.xpath import context, parse, xpath
 from treeshred.sources.documents import decode_bytes
@@ -239,3 +241,69 @@ def test_views_and_stream(spark, xml, tmp_path):
     stream = spark.readStream.schema("doc_id long, source string").parquet(str(tmp_path / "in"))
     shred_stream(stream, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).where("tag = 'user'").count() == 3
+
+
+def random_tree(seed, n):
+    """A document of n elements with ids, and (id, depth, size of its subtree) of each in document order."""
+    rng, parents = random.Random(seed), [None]
+    for k in range(1, n):
+        parents.append(rng.choice(range(max(0, k - 40), k)))
+    kids = {k: [c for c in range(n) if parents[c] == k] for k in range(n)}
+
+    def build(k, depth):
+        inner = [build(c, depth + 1) for c in kids[k]]
+        rows = [r for _, rs in inner for r in rs]
+        return f'<e i="{k}">{"".join(x for x, _ in inner)}</e>', [(k, depth, 1 + len(rows)), *rows]
+
+    return build(0, 2)
+
+
+def test_subtrees_over_many_blocks(xml):
+    source, rows = random_tree(7, 900)
+    tree = nodes(xml(source)).persist()
+    at = {k: (place, size) for place, (k, _, size) in enumerate(rows)}
+    some = tree.where("tag = 'e'").where(nav.get("i").cast("int") % 3 == 0)
+    inside = {(int(r.i), r.n) for r in nav.descendants(some, tree).groupBy(F.col("of").alias("node_id")).agg(F.count(F.lit(1)).alias("n")).join(tree, "node_id").select(nav.get("i").alias("i"), "n").collect()}
+    assert inside == {(k, size - 1) for k, _, size in rows if k % 3 == 0 and size > 1}
+    above = nav.ancestors(some, tree).groupBy("of").count().join(tree, F.col("of") == tree["node_id"]).select(nav.get("i").cast("int"), "count").collect()
+    assert {tuple(r) for r in above} == {(k, depth - 1) for k, depth, _ in rows if k % 3 == 0}
+    third = {k for k, _, _ in rows if k % 3 == 0}
+    bag = sum(1 for k in third for c, _, _ in rows[at[k][0] + 1 : at[k][0] + at[k][1]] if c % 3 == 0)
+    marked = set_attr(tree, nav.get("i").cast("int") % 3 == 0, "t", F.lit("y"))
+    assert xpath(marked, "//e[@t]//e[@t]").count() == bag
+    assert nav.digests(some, tree).count() == len(third)
+    assert nav.child_counts(some, tree).agg(F.sum("length")).first()[0] == sum(p % 3 == 0 for p in parents_of(rows))
+
+
+def parents_of(rows):
+    path = []
+    for k, depth, _ in rows:
+        del path[depth - 2 :]
+        if path:
+            yield path[-1]
+        path.append(k)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_changes_number_as_a_new_reading_does(xml, seed):
+    source, rows = random_tree(seed, 600)
+    tree = nodes(xml(source)).persist()
+    hit = nav.get("i").cast("int") % 7 == 3
+    columns = ["node_id", "parent_id", "child_pos", "kind", "tag", "value", "attrs", "depth", "last_desc"]
+    for changed in (push(tree, hit, "Element", "z"), push_first(tree, hit, "Text", None, F.lit("t")), remove(tree, hit), replace(tree, hit, "Comment", value=F.lit("c"))):
+        again = nodes(serialize(changed, 0).select("doc_id", F.regexp_replace("xml", "\n", "").alias("source")))
+        assert sorted(map(str, changed.select(*columns).collect())) == sorted(map(str, again.select(*columns).collect()))
+
+
+def test_children_by_place(xml):
+    tree = nodes(xml("<r><a/><b><c/></b></r>", "<r/>")).persist()
+    assert {(r.doc_id, r.length) for r in nav.child_counts(tree.where("tag = 'r'"), tree).collect()} == {(1, 2), (2, 0)}
+    assert [r.tag for r in nav.last_child(tree.where("tag = 'r'"), tree).collect()] == ["b"]
+    assert {r.tag for r in nav.only_child(tree.where("kind = 'Element'"), tree).collect()} == {"c"}
+    assert tree.limit(0).join(nav.child_counts(tree.limit(0), tree), "doc_id").count() == 0
+
+
+def test_require_valid(xml):
+    assert require_valid(xml("<a/>", "<b/>")).count() == 2
+    with pytest.raises(Exception, match="document 2: unclosed element"):
+        require_valid(xml("<a/>", "<b>")).collect()

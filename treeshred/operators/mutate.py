@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .interval import within
+
 
 def set_attr(nodes: DataFrame, where: Column, name: str, value: Column) -> DataFrame:
     """Sets an attribute of the Elements that ``where`` holds for: in its place if it is there, else last."""
@@ -15,21 +17,26 @@ def set_attr(nodes: DataFrame, where: Column, name: str, value: Column) -> DataF
     return nodes.withColumn("attrs", F.when((F.col("kind") == "Element") & F.coalesce(where, F.lit(False)), F.when(has, replaced).otherwise(appended)).otherwise(F.col("attrs")))
 
 
+def _place(a: Column, b: int = 0, c: Column | None = None) -> Column:
+    return F.struct(a.cast("int").alias("a"), F.lit(b).alias("b"), (F.lit(0) if c is None else c).cast("int").alias("c"))
+
+
 def _renumber(rows: DataFrame) -> DataFrame:
-    """Rows with an ``_at`` sort key, in document order, and depths: all else that depends on it is made anew."""
-    order = Window.partitionBy("doc_id").orderBy("_at")
-    rows = rows.withColumn("_id", F.row_number().over(order).cast("int"))
-    # The last descendant is the row before the next one that is no deeper.
-    ids = rows.select("doc_id", F.col("node_id").alias("_old"), F.col("_id").alias("_new"), F.col("_made").alias("_m"))
-    up = rows.join(ids.withColumnRenamed("doc_id", "_d"), (F.col("_d") == rows["doc_id"]) & (F.col("_old") == rows["parent_id"]) & ~F.col("_m"), "left")
-    up = up.withColumn("parent_id", F.col("_new")).drop("_d", "_old", "_new", "_m")
-    n = up.select(F.col("doc_id").alias("_d"), F.col("_id").alias("_i"), F.col("depth").alias("_deep"))
-    nxt = up.select("doc_id", F.col("_id").alias("_k"), F.col("depth").alias("_dk")).join(n, (F.col("_d") == F.col("doc_id")) & (F.col("_i") > F.col("_k")) & (F.col("_deep") <= F.col("_dk"))).groupBy("doc_id", "_k").agg(F.min("_i").alias("_next")).withColumnRenamed("doc_id", "_d")
-    most = Window.partitionBy("doc_id")
-    whole = up.withColumn("_most", F.max("_id").over(most)).join(nxt, (F.col("_d") == up["doc_id"]) & (F.col("_k") == up["_id"]), "left")
+    """Rows with an ``_at`` sort key, in document order, and depths: all else that depends on it is made anew.
+
+    Where an old node's subtree ended is a place in the same order, so one running count gives ids and ends alike."""
+    end = _place(F.col("last_desc"), 1, -(F.col("depth") + 1))
+    events = rows.select("*", F.explode(F.when(F.col("_made"), F.array(F.struct(F.col("_at").alias("at"), F.lit(0).alias("ends")))).otherwise(F.array(F.struct(F.col("_at").alias("at"), F.lit(0).alias("ends")), F.struct(end.alias("at"), F.lit(1).alias("ends"))))).alias("_e"))
+    running = Window.partitionBy("doc_id").orderBy("_e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    events = events.withColumn("_id", F.count(F.when(F.col("_e.ends") == 0, 1)).over(running).cast("int"))
+    ends = events.where("_e.ends = 1").select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_old"), F.col("_id").alias("_last"))
+    up = events.where("_e.ends = 0").drop("_e")
+    up = up.join(ends, (F.col("_d") == up["doc_id"]) & (F.col("_old") == up["node_id"]), "left").drop("_d", "_old")
+    ids = up.where(~F.col("_made")).select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_old"), F.col("_id").alias("_new"))
+    whole = up.join(ids, (F.col("_d") == up["doc_id"]) & (F.col("_old") == up["parent_id"]), "left").withColumn("parent_id", F.col("_new"))
     place = Window.partitionBy("doc_id", "parent_id").orderBy("_id")
     none = F.lit(None).cast("int")
-    return whole.select("doc_id", F.col("_id").alias("node_id"), "parent_id", F.when(F.col("parent_id").isNotNull(), F.row_number().over(place)).alias("child_pos"), "kind", "tag", "value", "attrs", "depth", F.coalesce(F.col("_next") - 1, "_most").cast("int").alias("last_desc"), none.alias("span_start"), none.alias("span_end"))
+    return whole.select("doc_id", F.col("_id").alias("node_id"), "parent_id", F.when(F.col("parent_id").isNotNull(), F.row_number().over(place)).alias("child_pos"), "kind", "tag", "value", "attrs", "depth", F.coalesce("_last", "_id").alias("last_desc"), none.alias("span_start"), none.alias("span_end"))
 
 
 def _child(of: DataFrame, kind: str, tag: str | None, value: Column | None, at: Column) -> DataFrame:
@@ -38,24 +45,37 @@ def _child(of: DataFrame, kind: str, tag: str | None, value: Column | None, at:
 
 
 def _with(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    old = nodes.drop("span_start", "span_end").withColumn("_at", F.struct(F.col("node_id").cast("int").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"))).withColumn("_made", F.lit(False))
+    old = nodes.drop("span_start", "span_end").withColumn("_at", _place(F.col("node_id"))).withColumn("_made", F.lit(False))
     return _renumber(old.unionByName(new))
 
 
 def push(nodes: DataFrame, where: Column, kind: str, tag: str | None = None, value: Column | None = None) -> DataFrame:
     """Adds a last child to each node that ``where`` holds for. Spans are null from then on."""
-    at = F.struct(F.col("last_desc").cast("int").alias("a"), F.lit(1).alias("b"), (-F.col("depth")).cast("int").alias("c"))
+    at = _place(F.col("last_desc"), 1, -(F.col("depth") + 1))
     return _with(nodes, _child(nodes.where(where), kind, tag, value, at))
 
 
 def push_first(nodes: DataFrame, where: Column, kind: str, tag: str | None = None, value: Column | None = None) -> DataFrame:
     """Adds a first child."""
-    at = F.struct(F.col("node_id").cast("int").alias("a"), F.lit(0).alias("b"), F.lit(1).alias("c"))
+    at = _place(F.col("node_id"), 0, F.lit(1))
     return _with(nodes, _child(nodes.where(where), kind, tag, value, at))
 
 
 def remove(nodes: DataFrame, where: Column) -> DataFrame:
     """Takes out the nodes that ``where`` holds for, and all that is in them."""
     gone = nodes.where(where & (F.col("kind") != "Document")).select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), F.col("last_desc").alias("_l"))
-    kept = nodes.join(gone, (nodes["doc_id"] == gone["_d"]) & (nodes["node_id"] >= gone["_n"]) & (nodes["node_id"] <= gone["_l"]), "left_anti")
-    return _renumber(kept.drop("span_start", "span_end").withColumn("_at", F.struct(F.col("node_id").cast("int").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"))).withColumn("_made", F.lit(False)))
+    kept = within(gone, nodes, how="left_anti")
+    return _renumber(kept.drop("span_start", "span_end").withColumn("_at", _place(F.col("node_id"))).withColumn("_made", F.lit(False)))
+
+
+def replace(nodes: DataFrame, where: Column, kind: str, tag: str | None = None, value: Column | None = None) -> DataFrame:
+    """Puts a new childless node in the place of each that ``where`` holds for, and of all that is in it."""
+    hit = F.coalesce(where, F.lit(False)) & (F.col("kind") != "Document")
+    marked = nodes.withColumn("_hit", hit)
+    text = F.lit(None).cast("string") if value is None else value.cast("string")
+    bare = F.filter("attrs", lambda a: F.lit(False))
+    new = {"kind": F.lit(kind), "tag": F.lit(tag).cast("string"), "value": text, "attrs": bare, "last_desc": F.col("node_id")}
+    changed = marked.select(*[F.when(F.col("_hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in nodes.columns])
+    inner = nodes.where(hit & (F.col("last_desc") > F.col("node_id"))).select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), F.col("last_desc").alias("_l"))
+    kept = within(inner, changed, or_self=False, how="left_anti")
+    return _renumber(kept.drop("span_start", "span_end").withColumn("_at", _place(F.col("node_id"))).withColumn("_made", F.lit(False)))

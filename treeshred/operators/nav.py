@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .interval import within
+
 
 def _pairs(a: DataFrame, b: DataFrame, cond) -> DataFrame:
     """(doc_id, of: a node of ``a``, columns of ``b``) of pairs in one document."""
@@ -33,11 +35,15 @@ def siblings(of: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def descendants(of: DataFrame, nodes: DataFrame, or_self: bool = False) -> DataFrame:
-    return _pairs(of, nodes, lambda a, b: (b["node_id"] >= a["of"] if or_self else b["node_id"] > a["of"]) & (b["node_id"] <= a["_l"]))
+    spans = of.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("of"), F.col("last_desc").alias("_l"))
+    return within(spans, nodes, first="of", or_self=or_self).select("of", *nodes.columns)
 
 
 def ancestors(of: DataFrame, nodes: DataFrame) -> DataFrame:
-    return _pairs(of, nodes, lambda a, b: (b["node_id"] < a["of"]) & (b["last_desc"] >= a["of"]))
+    own = [F.col(c).alias(f"_own_{c}") for c in nodes.columns]
+    spans = nodes.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), F.col("last_desc").alias("_l"), *own)
+    found = within(spans, of.select("doc_id", "node_id"), or_self=False)
+    return found.select(F.col("node_id").alias("of"), *[F.col(f"_own_{c}").alias(c) for c in nodes.columns])
 
 
 def skip(of: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -70,6 +76,27 @@ def keys() -> Column:
     return F.transform("attrs", lambda a: a["name"])
 
 
+def values() -> Column:
+    return F.transform("attrs", lambda a: a["value"])
+
+
+def child_counts(of: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, length): how many children each node has, 0 for none."""
+    kids = nodes.where("parent_id is not null").groupBy(F.col("doc_id").alias("_d"), F.col("parent_id").alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
+    j = of.join(kids, (of["doc_id"] == kids["_d"]) & (of["node_id"] == kids["_p"]), "left")
+    return j.select("doc_id", "node_id", F.coalesce("_k", F.lit(0)).alias("length"))
+
+
+def last_child(of: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each node's last child: the one whose subtree ends where its parent's does."""
+    return _pairs(of, nodes, lambda a, b: (b["parent_id"] == a["of"]) & (b["last_desc"] == a["_l"]))
+
+
+def only_child(of: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The child of each node that has just one."""
+    return _pairs(of, nodes.where("child_pos = 1"), lambda a, b: (b["parent_id"] == a["of"]) & (b["last_desc"] == a["_l"]))
+
+
 def each_attribute(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, pos, name, value), a row an attribute, in order."""
     return nodes.select("doc_id", "node_id", F.posexplode("attrs").alias("pos", "_a")).select("doc_id", "node_id", "pos", "_a.name", "_a.value")
@@ -113,9 +140,8 @@ def splice(nodes: DataFrame, docs: DataFrame, replacement: str = "") -> DataFram
 def digests(roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, digest): equal exactly for structurally equal subtrees. Attributes count without order,
     children with it; null and empty values differ."""
-    inner = descendants(roots, nodes, or_self=True)
-    r = roots.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_r"), F.col("depth").alias("_depth"))
-    j = inner.join(r, (inner["doc_id"] == r["_d"]) & (inner["of"] == r["_r"]))
+    spans = roots.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("of"), F.col("last_desc").alias("_l"), F.col("depth").alias("_depth"))
+    j = within(spans, nodes, first="of")
     row = F.struct((F.col("node_id") - F.col("of")).alias("n"), (F.col("depth") - F.col("_depth")).alias("d"), "kind", "tag", "value", F.array_sort("attrs").alias("a"))
     canon = j.groupBy("doc_id", "of").agg(F.sha2(F.to_json(F.struct(F.sort_array(F.collect_list(row)).alias("r")), {"ignoreNullFields": "false"}), 256).alias("digest"))
     return canon.select("doc_id", F.col("of").alias("node_id"), "digest")

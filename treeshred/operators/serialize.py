@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import escape, escape_attr
+from .interval import within
 from .nav import get
 
 
@@ -26,7 +27,7 @@ def serialize(nodes: DataFrame, indent: int = 2) -> DataFrame:
     # The nearest of the elements around a node, itself included, that says something about layout.
     says = own.where("mixed or (kind = 'Element' and space is not null)").select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), F.col("last_desc").alias("_l"), F.col("depth").alias("_depth"), (F.col("mixed") | (F.col("space") == "preserve")).alias("_keep"))
     branch = own.where("kind = 'Element' and kids > 0").select("doc_id", "node_id")
-    near = branch.join(says, (branch["doc_id"] == says["_d"]) & (branch["node_id"] >= says["_n"]) & (branch["node_id"] <= says["_l"])).groupBy(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n")).agg(F.max_by("_keep", "_depth").alias("keep"))
+    near = within(says, branch).groupBy(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n")).agg(F.max_by("_keep", "_depth").alias("keep"))
     laid = own.join(near, (own["doc_id"] == near["_d"]) & (own["node_id"] == near["_n"]), "left").drop("_d", "_n").withColumn("keep", F.coalesce("keep", F.lit(False)) | F.col("inline"))
     parents = laid.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), F.col("keep").alias("in_keep"))
     rows = laid.join(parents, (laid["doc_id"] == parents["_d"]) & (laid["parent_id"] == parents["_n"]), "left").drop("_d", "_n").withColumn("in_keep", F.coalesce("in_keep", F.lit(False)))

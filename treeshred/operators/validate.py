@@ -69,3 +69,11 @@ def validate(docs: DataFrame, level: str = "structural") -> DataFrame:
     j = first.join(nulls, first["doc_id"] == nulls["_d"], "left")
     why = F.when(F.col("_d").isNotNull(), F.lit("lexical error")).otherwise(F.col("_e._why"))
     return j.select("doc_id", why.isNull().alias("ok"), why.alias("error"))
+
+
+def require_valid(docs: DataFrame, level: str = "structural") -> DataFrame:
+    """The documents, as they are; the job fails at the first that is not well-formed."""
+    why = validate(docs, level).select(F.col("doc_id").alias("_d"), "ok", "error")
+    j = docs.join(why, docs["doc_id"].eqNullSafe(why["_d"]))
+    message = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("without an id")), F.lit(": "), F.col("error"))
+    return j.where(F.when(F.col("ok"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).select(*docs.columns)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import dtd, nav
 from ..operators.build import Markup, declaration, document, element
 from ..operators.lex import lexemes, tokens
-from ..operators.mutate import push, remove, set_attr
+from ..operators.mutate import push, push_first, remove, replace, set_attr
 from ..operators.serialize import serialize
 from ..operators.shred import nodes
 from ..operators.validate import validate
@@ -197,10 +197,20 @@ def _unescape(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", F.md5(scalars.unescape(scalars.escape(F.col("text"))).cast("binary")).alias("plain"))
 
 
-@_query("unescape_pages", "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&')) AS plain FROM pages WHERE NOT regexp_matches(html, '&#|&amp;(amp|lt|gt|quot|apos);')")
+# Pages cut at their character references: what stands between is unescaped by name, &amp; last, so no text is read twice.
+_REF = "&#(?:[0-9]+|x[0-9a-fA-F]+);"
+_NAMED = "replace(replace(replace(replace(replace(p, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&')"
+_NUMBER = "CASE WHEN r LIKE '&#x%' THEN TRY_CAST('0x' || r[4:-2] AS BIGINT) ELSE TRY_CAST(r[3:-2] AS BIGINT) END"
+_CHAR = f"CASE WHEN ({_NUMBER}) BETWEEN 0 AND 55295 OR ({_NUMBER}) BETWEEN 57344 AND 1114111 THEN chr(CAST(({_NUMBER}) AS INT)) ELSE coalesce(r, '') END"
+
+
+@_query(
+    "unescape_pages",
+    f"WITH cut AS (SELECT page_id, unnest(string_split_regex(html, '{_REF}')) AS p, unnest(regexp_extract_all(html, '{_REF}')) AS r, generate_subscripts(string_split_regex(html, '{_REF}'), 1) AS k FROM pages) "
+    f"SELECT page_id, md5(string_agg({_NAMED} || {_CHAR}, '' ORDER BY k)) AS plain FROM cut GROUP BY page_id",
+)
 def _unescape_pages(spark, sf):
-    pages = _table(spark, sf, "pages").where(~F.col("html").rlike("&#|&amp;(amp|lt|gt|quot|apos);"))
-    return pages.select("page_id", F.md5(scalars.unescape(F.col("html")).cast("binary")).alias("plain"))
+    return _table(spark, sf, "pages").select("page_id", F.md5(scalars.unescape(F.col("html")).cast("binary")).alias("plain"))
 
 
 @_query("attr_ws_normalize", "SELECT doc_id, md5(regexp_replace(text, '\\r\\n|[\\t\\n\\r]', ' ', 'g')) AS value FROM documents")
@@ -286,6 +296,104 @@ def _dtd(spark, sf):
     return found.select(F.substring("e.value", 10, 100).alias("name"), F.col("e.value").alias("value"), "doc_id")
 
 
+@_query("elements", "SELECT o_orderkey AS doc_id, 1 + count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def _elements(spark, sf):
+    t = _order_nodes(spark, sf)
+    return nav.elements(t.where("tag = 'order'"), t).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("child_counts", "SELECT o_orderkey AS doc_id, 1 + count(l_orderkey) AS length FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def _child_counts(spark, sf):
+    t = _order_nodes(spark, sf)
+    return nav.child_counts(t.where("tag = 'order'"), t).select("doc_id", "length")
+
+
+@_query("last_child", f"SELECT o_orderkey AS doc_id, CAST(l_linenumber AS VARCHAR) AS n FROM orders LEFT JOIN {_ITEMS} ON l_orderkey = o_orderkey WHERE pos = many OR pos IS NULL")
+def _last_child(spark, sf):
+    t = _order_nodes(spark, sf)
+    return nav.last_child(t.where("tag = 'order'"), t).select("doc_id", nav.get("n").alias("n"))
+
+
+@_query("only_child", "SELECT o_orderkey AS doc_id, CAST(o_custkey AS VARCHAR) AS value FROM orders")
+def _only_child(spark, sf):
+    t = _order_nodes(spark, sf)
+    return nav.only_child(t.where("tag = 'cust'"), t).select("doc_id", "value")
+
+
+@_query("skip_element", "SELECT l_orderkey AS doc_id, 5 * count(*) AS n FROM lineitem GROUP BY 1")
+def _skip(spark, sf):
+    t = _order_nodes(spark, sf)
+    return nav.skip(t.where("tag = 'cust'"), t).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("attribute_keys", "WITH o AS (SELECT count(*) AS n FROM orders), i AS (SELECT count(*) AS n FROM lineitem) SELECT 'id,status' AS keys, n FROM o UNION ALL SELECT 'n,flag', n FROM i UNION ALL SELECT '', o.n + 2 * i.n FROM o, i")
+def _keys(spark, sf):
+    t = _order_nodes(spark, sf).where("kind = 'Element'")
+    return t.groupBy(F.array_join(nav.keys(), ",").alias("keys")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("attribute_tokens", """SELECT '"' || v || '"' AS raw, count(*) AS n FROM (SELECT l_returnflag AS v FROM lineitem UNION ALL SELECT CAST(l_linenumber AS VARCHAR) FROM lineitem UNION ALL SELECT o_orderstatus FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR) FROM orders) GROUP BY 1""")
+def _attribute_tokens(spark, sf):
+    return tokens(order_docs(spark, sf)).where("kind = 'ATTR_VALUE'").groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+
+
+_path("xpath_nested_descendant", "//nation//customer", "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1", _per_doc, region_docs)
+_path("xpath_descendant_or_self", "/region/nation//", "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, count(DISTINCT n_nationkey) + count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1", _per_doc, region_docs)
+
+_ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+
+
+@_query("source_span", f"SELECT doc_id, CAST(length({_ESCAPED}) AS BIGINT) AS chars, CAST(strlen({_ESCAPED}) AS BIGINT) AS bytes FROM documents WHERE text <> ''")
+def _span(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", element("d", F.col("text")).column.alias("source"))
+    spans = nav.source_span(nodes(docs).where("kind = 'Text'"), docs)
+    return spans.select("doc_id", (F.col("char_end") - F.col("char_start")).cast("long").alias("chars"), (F.col("span_end") - F.col("span_start")).cast("long").alias("bytes"))
+
+
+@_query("wf_errors", "SELECT CASE o_orderstatus WHEN 'F' THEN 'unclosed element' WHEN 'P' THEN 'more than one root element' ELSE 'ok' END AS error, count(*) AS n FROM orders GROUP BY 1")
+def _wf_errors(spark, sf):
+    docs, status = order_docs(spark, sf), F.regexp_extract("source", 'status="([^"]*)"', 1)
+    broken = F.when(status == "F", F.regexp_replace("source", "</order>$", "")).when(status == "P", F.concat("source", F.lit("<x/>"))).otherwise(F.col("source"))
+    return validate(docs.select("doc_id", broken.alias("source"))).groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("push_first_child", "SELECT o_orderkey AS doc_id, 3 AS at, CAST(5 + 5 * count(l_orderkey) AS INT) AS last_desc FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def _push_first(spark, sf):
+    t = push_first(_order_nodes(spark, sf), F.col("tag") == "order", "Element", "begin")
+    return t.groupBy("doc_id").agg(F.max(F.when(F.col("tag") == "begin", F.col("node_id"))).alias("at"), F.max("last_desc").alias("last_desc"))
+
+
+@_query("replace_nodes", "SELECT o_orderkey AS doc_id, count(l_orderkey) AS n, CAST(4 + count(l_orderkey) AS INT) AS last_desc FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def _replace(spark, sf):
+    t = replace(_order_nodes(spark, sf), F.col("tag") == "item", "Comment", value=F.lit("gone"))
+    return t.groupBy("doc_id").agg(F.count(F.when(F.col("kind") == "Comment", 1)).alias("n"), F.max("last_desc").alias("last_desc"))
+
+
+def _declared(spark: SparkSession, sf: str, declaration: Column, field: str) -> DataFrame:
+    """(doc_id, e): what parse_dtd finds under ``field`` in a document a region, with a declaration a nation."""
+    subset = _table(spark, sf, "nation").groupBy(F.col("n_regionkey").cast("long").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(declaration)), "\n").alias("x"))
+    docs = subset.select("doc_id", F.concat(F.lit("<!DOCTYPE r ["), F.col("x"), F.lit("]><r/>")).alias("source"))
+    return nodes(docs).where("kind = 'DTD'").select("doc_id", F.explode(dtd.parse_dtd(F.col("value"))[field]).alias("e"))
+
+
+@_query("dtd_elements", "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 'e' || n_nationkey AS name, '(a,(b|c' || n_nationkey || ')*)' AS content FROM nation")
+def _dtd_elements(spark, sf):
+    key = F.col("n_nationkey").cast("string")
+    return _declared(spark, sf, F.concat(F.lit("<!ELEMENT e"), key, F.lit(" (a,(b|c"), key, F.lit(")*)>")), "elements").select("doc_id", "e.name", "e.content")
+
+
+@_query("dtd_attributes", "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 'e' || n_nationkey AS element, name, type, standard FROM nation, (VALUES ('id', 'ID', '#REQUIRED'), ('k', '(x|y)', '\"x\"')) AS a(name, type, standard)")
+def _dtd_attributes(spark, sf):
+    found = _declared(spark, sf, F.concat(F.lit("<!ATTLIST e"), F.col("n_nationkey").cast("string"), F.lit(' id ID #REQUIRED k (x|y) "x">')), "attributes")
+    return found.select("doc_id", "e.element", "e.name", "e.type", F.col("e.default").alias("standard"))
+
+
+@_query("dtd_notations", "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 'n' || n_nationkey AS name, 'SYSTEM \"' || n_name || '\"' AS external_id FROM nation")
+def _dtd_notations(spark, sf):
+    found = _declared(spark, sf, F.concat(F.lit("<!NOTATION n"), F.col("n_nationkey").cast("string"), F.lit(' SYSTEM "'), F.col("n_name"), F.lit('">')), "notations")
+    return found.select("doc_id", "e.name", "e.external_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

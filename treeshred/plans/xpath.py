@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.interval import within
+
 NODE = ["node_id", "parent_id", "kind", "tag", "value", "attrs", "last_desc", "depth"]
 _NAME = r"[A-Za-z0-9_\-.:\u0080-\U0010FFFF]+"
 
@@ -117,12 +119,12 @@ def xpath(nodes: DataFrame, expression: str, start: DataFrame | None = None) ->
             else:
                 c = now.select(F.col("doc_id").alias("_d"), "ctx_id", F.col("node_id").alias("_n"), F.col("last_desc").alias("_l"), F.col("ord").alias("_o"))
                 n = tree.where(_test(after, F.col("kind"), F.col("tag")))
-                j = c.join(n, (n["doc_id"] == c["_d"]) & (n["node_id"] > c["_n"]) & (n["node_id"] <= c["_l"]))
+                j = within(c, n, or_self=False)
                 now = j.select("doc_id", "ctx_id", *NODE, F.concat("_o", key(F.col("parent_id"), F.col("node_id"))).alias("ord"))
             k += 2
         elif step.kind == "descend":
             c = now.select(F.col("doc_id").alias("_d"), "ctx_id", F.col("node_id").alias("_n"), F.col("last_desc").alias("_l"), F.col("ord").alias("_o"))
-            j = c.join(tree, (tree["doc_id"] == c["_d"]) & (tree["node_id"] >= c["_n"]) & (tree["node_id"] <= c["_l"]))
+            j = within(c, tree)
             now = j.select("doc_id", "ctx_id", *NODE, F.concat("_o", F.array("node_id")).alias("ord"))
             k += 1
         else:
