@@ -21,7 +21,7 @@ def serialize(nodes: DataFrame, indent: int = 2) -> DataFrame:
         F.max((F.col("kind") == "CData") | ((F.col("kind") == "Text") & ~blank)).alias("mixed"),
     )
     own = nodes.join(kids, (nodes["doc_id"] == kids["_d"]) & (nodes["node_id"] == kids["_p"]), "left").drop("_d", "_p")
-    inline = (F.col("kids") == 1) & F.col("any_text")
+    inline = (F.col("kind") == "Element") & (F.col("kids") == 1) & F.col("any_text")
     own = own.withColumn("kids", F.coalesce("kids", F.lit(0))).withColumn("inline", F.coalesce(inline, F.lit(False))).withColumn("space", get("xml:space"))
     own = own.withColumn("mixed", F.coalesce("mixed", F.lit(False)) & ~F.col("inline") & (F.col("kind") == "Element"))
     # The nearest of the elements around a node, itself included, that says something about layout.
