@@ -18,15 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_folder, partitions, slices, texts, written
+from .common import fresh_folder, partitions, slices, span_hashes, texts, written
 
 MAGIC, BLOCK, FOOTER = b"TSBITS01", 1 << 15, 48
 
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_STOP, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
-_STOP[list(b".,;:!?")] = True
-_PLAIN[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
+# Letters 1, digits 2, punctuation 3 of ASCII; the apostrophe, which may begin a part that letters end, is none of them.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 1
+_KIND[list(b"0123456789")] = 2
+_KIND[ord("'")] = 0
 
 
 def bits_for(vocabulary: int) -> int:
@@ -39,11 +42,12 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
-    raw = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
-    out = np.zeros((n, 4), np.uint8)
-    packed = np.packbits(raw, axis=1, bitorder="little")
-    out[:, : packed.shape[1]] = packed
-    return out.view("<u4")[:, 0]
+    """The first ``n`` ids: eight bytes are read at each id's first byte, shifted and masked, all at once."""
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    wide = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    at = np.arange(n, dtype=np.uint64) * np.uint64(bits)
+    out = (wide[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7))) & np.uint64((1 << bits) - 1)
+    return out.astype(np.uint32)
 
 
 def _store(path: str):
@@ -130,44 +134,138 @@ class Reader:
         return self.ids(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
 
 
+class Memo:
+    """Runs of ids by the hash of a word: an open-addressed table that is looked up and filled with whole arrays. A word
+    is told from others by its hash and by ``check``, its first eight bytes and its length."""
+
+    def __init__(self, slot_bits: int):
+        self.slot_bits = slot_bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.table, self.entry = np.zeros(1 << self.slot_bits, np.uint64), np.zeros(1 << self.slot_bits, np.int32)
+        self.n = 0
+        self.check, self.at = np.zeros(1024, np.uint64), np.zeros(1025, np.int64)
+        self.ids = np.zeros(4096, np.uint32)
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Each word's entry, -1 where it has none."""
+        out, slot, left = np.full(len(hashes), -1, np.int64), self._slots(hashes), np.arange(len(hashes))
+        while len(left):
+            seen, own = self.table[slot], hashes[left]
+            hit = np.flatnonzero(seen == own)
+            found = self.entry[slot[hit]]
+            good = self.check[found] == check[left[hit]]
+            out[left[hit[good]]] = found[good]
+            go_on = seen != 0
+            go_on[hit[good]] = False
+            left, slot = left[go_on], (slot[go_on] + 1) & ((1 << self.slot_bits) - 1)
+        return out
+
+    def add(self, hashes: np.ndarray, check: np.ndarray, runs: list[np.ndarray]) -> None:
+        """Words that aren't there yet, each once."""
+        many, sizes = len(hashes), np.array([len(r) for r in runs], np.int64)
+        ends = self.at[self.n] + np.cumsum(sizes)
+        while self.n + many > len(self.check):
+            self.check, self.at = np.append(self.check, np.zeros_like(self.check)), np.append(self.at, np.zeros(len(self.check), np.int64))
+        if many and ends[-1] > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros(max(len(self.ids), int(ends[-1]) - len(self.ids)), np.uint32))
+        if many:
+            self.ids[self.at[self.n] : ends[-1]] = np.concatenate(runs)
+        self.check[self.n : self.n + many], self.at[self.n + 1 : self.n + many + 1] = check, ends
+        slot, left = self._slots(hashes), np.arange(many)
+        while len(left):
+            free = np.flatnonzero(self.table[slot] == 0)
+            own, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.table[own], self.entry[own] = hashes[left[put]], self.n + left[put]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, slot = left[rest], (slot[rest] + 1) & ((1 << self.slot_bits) - 1)
+        self.n += many
+
+    def runs(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the entries, one after another, and how many each has."""
+        sizes = self.at[entries + 1] - self.at[entries]
+        before = np.cumsum(sizes) - sizes
+        return self.ids[np.repeat(self.at[entries] - before, sizes) + np.arange(int(sizes.sum()))], sizes
+
+
+_HEAD = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
 class Encoder:
-    """The library's ids of a text, part by part. This vocabulary drops white space and case, and never joins a letter
-    or digit with what follows it of ``.,;:!?``; what stands between such places is encoded alone, once while it is
-    remembered, and looked up after that. Texts with an opening ``<|`` keep their case: special strings have one."""
+    """The library's ids of a text, part by part. This vocabulary drops white space and case, and joins no ASCII letter,
+    digit or punctuation mark with one of another kind, nor digits (but for apostrophes); what stands between such places
+    is encoded by the library once while it is remembered, and looked up after that. Texts with an opening ``<|`` go to the library whole: special strings have one."""
 
-    def __init__(self, path: str, remember: int = 800_000):
+    def __init__(self, path: str, remember: int = 1 << 21):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.remember = remember
-        self.known: dict[str, bytes] = {}
-        for probe in ("a b", "It's  A,b.c\n<|endoftext|> é, x!? <|ENDOFTEXT|>", " \u0301a \n", "KI\u0307 A\u0301, 5.5;x:!y's."):
+        self.known = Memo((2 * remember - 1).bit_length())
+        bar = self._whole("|")
+        self.bar = bar[0] if len(bar) == 1 else None
+        for probe in ("a b", "It's  A,b.c\n<|endoftext|> é, x!? <|ENDOFTEXT|>", " \u0301a \n", "KI\u0307 A\u0301, 5.5;x:!y's.", "a|b || c |,", "x1-y's 22'll ''s$a'm"):
             if self._whole(probe) != self.encode([probe.encode()])[0].tolist():
                 raise ValueError("this vocabulary has tokens across white space, case or punctuation")
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _words(self, text: bytes) -> list[str]:
-        data = np.frombuffer(text if b"<|" in text else text.translate(_LOWER), np.uint8)
-        places = np.flatnonzero(_STOP[data[1:]] & _PLAIN[data[:-1]]) + 1
-        if len(places):
-            data = np.insert(data, places, 0x20)
-        return data.tobytes().replace(b"\n", b" ").decode().split(" ")
+    def _new(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of words, many in one text with a bar between them; a word that has a bar itself goes alone."""
+        out: list = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if "|" not in w] if self.bar is not None else []
+        for k in range(0, len(plain), 512):
+            some = plain[k : k + 512]
+            ids = np.array(self._whole(" | ".join([words[i] for i in some])), np.uint32)
+            bars = np.flatnonzero(ids == self.bar).tolist()
+            if len(bars) == len(some) - 1:
+                for i, begin, end in zip(some, [0, *[x + 1 for x in bars]], [*bars, len(ids)], strict=True):
+                    out[i] = ids[begin:end]
+        alone = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32)
+        return out
 
     def encode(self, values: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, of UTF-8 bytes."""
-        split = [self._words(v) for v in values]
-        known, kind = self.known, np.uint16 if self.size <= 1 << 16 else np.uint32
-        if len(known) > self.remember:
-            known.clear()
-        found = [list(map(known.get, words)) for words in split]
-        new = list({w for words, f in zip(split, found, strict=True) if None in f for w, x in zip(words, f, strict=True) if x is None})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, kind).tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in words] if None in f else f), kind).astype(np.uint32) for words, f in zip(split, found, strict=True)]
+        if self.known.n > self.remember:
+            self.known.clear()
+        special = {i: np.array(self._whole(v.decode()), np.uint32) for i, v in enumerate(values) if b"<|" in v}
+        raw = b"\n".join([b"" if i in special else v for i, v in enumerate(values)]).translate(_LOWER) + b"\n" + bytes(8)
+        data = np.frombuffer(raw, np.uint8)[:-8]
+        lengths = np.array([0 if i in special else len(v) for i, v in enumerate(values)], np.int64)
+        within = (data != 0x20) & (data != 0x0A)
+        begins, edge = within.copy(), ~within
+        kind = _KIND[data]
+        begins[1:] &= ~within[:-1] | ((kind[1:] != 0) & (kind[:-1] != 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2)))
+        edge[1:] &= within[:-1]
+        edge[0] = False
+        at = np.flatnonzero(begins | edge)
+        is_begin = begins[at]
+        starts, ends = at[is_begin], at[1:][is_begin[:-1]]
+        hashes = np.maximum(span_hashes(data, starts, ends), np.uint64(1))
+        wide = np.ndarray((len(data),), "<u8", raw, 0, (1,))
+        check = (wide[starts] & _HEAD[np.minimum(ends - starts, 8)]) + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        entries = self.known.find(hashes, check)
+        missing = np.flatnonzero(entries < 0)
+        if len(missing):
+            first = np.unique(hashes[missing] ^ (check[missing] << np.uint64(1)), return_index=True)[1]
+            new = missing[first]
+            self.known.add(hashes[new], check[new], self._new([raw[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]))
+            entries[missing] = self.known.find(hashes[missing], check[missing])
+        ids, sizes = self.known.runs(entries)
+        first_byte = np.cumsum(lengths + 1) - lengths - 1
+        first_id = np.append(0, np.cumsum(sizes))[np.append(np.searchsorted(starts, first_byte), len(starts))]
+        return [special[i] if i in special else ids[first_id[i] : first_id[i + 1]] for i in range(len(values))]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -58,6 +58,22 @@ def _both_powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``data[starts[i]:ends[i]]``, A-Z as a-z, for ascending spans that don't overlap: polynomials from
+    running sums, over stretches of about CHUNK bytes; a stretch's place doesn't matter."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
+        part = data[starts[i] : ends[j - 1]]
+        up, down = _both_powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
+        s, e = starts[i:j] - starts[i], ends[i:j] - starts[i]
+        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
+
+
 class Words:
     """The words of some texts, all at once: ``hashes`` (64 bits, of the lower-cased bytes), ``first`` (where each
     text's words begin in it, and the end) and each word's ``starts`` and ``ends`` in ``data``. Nulls have none."""
@@ -71,21 +87,7 @@ class Words:
         edge = np.flatnonzero(np.diff(np.concatenate(([False], word)).astype(np.int8)))
         self.starts, self.ends = edge[0::2], edge[1::2]
         self.first = np.searchsorted(self.starts, self.at)
-        self.hashes = self._hashes()
-
-    def _hashes(self) -> np.ndarray:
-        """Polynomial hashes from running sums, over stretches of about CHUNK bytes; a stretch's place doesn't matter."""
-        out, i = np.empty(len(self.starts), np.uint64), 0
-        while i < len(out):
-            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + CHUNK, "right")))
-            data = self.data[self.starts[i] : self.ends[j - 1]]
-            up, down = _both_powers(len(data) + 1)
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-            s, e = self.starts[i:j] - self.starts[i], self.ends[i:j] - self.starts[i]
-            out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-            i = j
-        return out
+        self.hashes = span_hashes(data, self.starts, self.ends)
 
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.first[i] : self.first[i + 1]]
