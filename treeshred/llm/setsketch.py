@@ -6,8 +6,8 @@ give candidates; the joint likelihood of two sketches (their exact sizes being k
 threshold; what is left is confirmed on the full sets of shingles.
 
 Candidates never become all pairs of a bucket. A bucket first tests its members against one of them. Buckets whose
-members then still lie in different components are searched in blocks, where a pair that is already joined within the
-block is skipped and only a spanning forest of confirmed links comes out.
+members then still lie in different components are searched with a row a member (in blocks, where they are large), where
+a pair that is already joined is skipped and only a spanning forest of confirmed links comes out.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 ROWS, BANDS = 5, 40  # at similarity 0.75 a pair shares no band with probability (1 - 0.75**5)**40 = 2e-5
 REGISTERS = ROWS * BANDS
 SLACK = 0.14  # 4.5 standard deviations of the estimate from 200 registers at 0.75
-BLOCK = 512
+BLOCK = 8192  # members of a bucket that one task searches, a long text counting as several
 
 _SEEDS = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _ODD = (_SEEDS[:REGISTERS] >> np.uint64(32)).astype(np.uint32), (_SEEDS[REGISTERS:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -184,6 +184,23 @@ def _forest(percent: int, threshold: float):
     return run
 
 
+def _blocks(full: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of buckets with the blocks ``i`` and ``j`` that they are searched in; a bucket of up to BLOCK is one block
+    and has a row a member. Of a larger one the members that are already joined to its largest part meet only the others,
+    and the others meet all, so it is the others alone that have a row more for each further block."""
+    weight = 1 + F.col("n_shingles") / 256  # a long text counts as so many
+    parts = sizes.groupBy("key", "label").agg(F.sum(weight).alias("w"))
+    whole = parts.groupBy("key").agg(F.sum("w").alias("all"), F.max(F.struct("w", "label")).alias("top"))
+    one = F.col("all") <= BLOCK
+    many = lambda w: F.greatest(F.lit(1), F.ceil(w / BLOCK)).cast("int")
+    plan = whole.select("key", F.when(~one, F.col("top.label")).alias("largest"), F.when(one, 1).otherwise(many(F.col("all") - F.col("top.w"))).alias("few"), F.when(one, 0).otherwise(many(F.col("top.w"))).alias("more"))
+    j = full.join(plan, "key").withColumn("_joined", F.coalesce(F.col("label") == F.col("largest"), F.lit(False)))
+    h = F.xxhash64("rep", F.lit(7))
+    j = j.withColumn("block", F.when(F.col("_joined"), F.col("few") + F.pmod(h, F.greatest(F.col("more"), F.lit(1)))).otherwise(F.pmod(h, F.col("few"))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("_joined"), F.col("few")).otherwise(F.col("few") + F.col("more")) - 1))
+    return j.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("largest", "few", "more", "other", "_joined")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text, ...).
 
@@ -223,14 +240,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     labelled = members.where("n > 2").join(first.toDF("rep", "component"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("key").agg(F.first("band").alias("band"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("lo <> hi")
     mixed = mixed.groupBy("size", "who").agg(F.min(F.struct("band", "key")).alias("of")).select("of.key", "size")  # buckets with the same members are searched once
-    searched = labelled.select("key", "band", "rep", "label").join(mixed, "key")
-    searched = searched.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
-    searched = searched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    searched = written(searched.select("key", "band", "i", "j", "rep", "label", "block"), "searched")
-    more = with_text(searched.select("rep"))
-    full = searched.join(regs, "rep").join(more, "rep")
-    extra = full.groupBy("key", "i", "j").applyInArrow(_forest(percent, threshold), "u long, v long")
-    extra = written(extra, "links")
+    searched = written(labelled.select("key", "band", "rep", "label").join(mixed.select("key"), "key"), "searched")
+    full = searched.join(regs, "rep").join(with_text(searched.select("rep")), "rep")
+    extra = written(_blocks(full, searched.join(regs, "rep")).groupBy("key", "i", "j").applyInArrow(_forest(percent, threshold), "u long, v long"), "links")
 
     ids = keyed.select("rep", "doc_id")
     all_links = links.union(extra).join(ids.toDF("u", "x"), "u").join(ids.toDF("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
