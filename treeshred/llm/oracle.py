@@ -43,18 +43,23 @@ WITH base AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
     md5('7|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || coalesce(md5(text), 'null')) AS h FROM documents),
 tot AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
-ranked AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INT)] AS weight, source_size * 2.0::DOUBLE AS cap FROM tot),
+named AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM tot),
+ranked AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][CAST((rank - 1) % 3 + 1 AS INT)] AS weight, source_size * 2.0::DOUBLE AS cap FROM named),
 timed AS (
   SELECT *, cap / weight AS full_at,
     coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
     sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS running,
     sum(source_size) OVER () * 1.5::DOUBLE AS total FROM ranked),
 cut AS (SELECT max(CASE WHEN (total - caps) / running < full_at THEN (total - caps) / running END) AS at FROM timed),
-targets AS (SELECT source, source_size, least(cap, coalesce(weight * cut.at, cap)) AS target FROM timed, cut),
-queue AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM base)
-SELECT doc_id, size, source_size, target,
-  CAST(floor(greatest(0, least(size, target - before)) + greatest(0, least(size, target - source_size - before)) + 1e-6) AS BIGINT) AS taken
-FROM queue JOIN targets ON queue.source IS NOT DISTINCT FROM targets.source
+targets AS (SELECT source, source_size, weight, rank, least(cap, coalesce(weight * cut.at, cap)) AS target FROM timed, cut),
+served AS (
+  SELECT *, row_number() OVER () AS id, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM base),
+rows AS (SELECT served.*, source_size, weight, rank, target FROM served JOIN targets ON served.source IS NOT DISTINCT FROM targets.source),
+turns AS (SELECT id, rank, weight, size, source_size * unnest([0, 1]) + before AS start FROM rows WHERE size > 0),
+packets AS (SELECT *, unnest(range(0, size, 64)) AS p FROM turns),
+queue AS (SELECT id, least(64, size - p) AS words, sum(least(64, size - p)) OVER (ORDER BY (start + p + least(64, size - p)) / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS until FROM packets),
+taken AS (SELECT id, sum(greatest(0, least(words, (SELECT floor(sum(size) * 1.5) FROM base) - until + words))) AS taken FROM queue GROUP BY id)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM rows LEFT JOIN taken USING (id)
 """
 
 OP8 = f"""

@@ -39,12 +39,16 @@ def passages(values: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     some = np.maximum(words, 1)
     out = np.zeros((total, FEATURES), np.float32)
     if len(place):
-        # Bytes between one passage's first word and the next one's belong to the first.
+        # A text's bytes from one passage's first word to the next one's belong to the first, those before all to its first.
         heads = np.flatnonzero(np.append(True, np.diff(place) > 0))
         of_byte = np.zeros(len(w.data), np.int64)
-        of_byte[w.starts[heads]] = np.diff(np.append(0, place[heads]))
-        of_byte = np.cumsum(of_byte)
-        kinds = np.bincount(of_byte * _N_CLASSES + _CLASSES[w.data], minlength=total * _N_CLASSES).reshape(total, _N_CLASSES)
+        begins = w.at[:-1]
+        of_byte[begins] = first[:-1]
+        of_byte[w.starts[heads]] = place[heads]
+        of_byte = np.maximum.accumulate(of_byte)
+        own = np.ones(len(w.data), bool)
+        own[w.at[1:] - 1] = False  # what keeps the texts apart
+        kinds = np.bincount(of_byte[own] * _N_CLASSES + _CLASSES[w.data[own]], minlength=total * _N_CLASSES).reshape(total, _N_CLASSES) * (words > 0)[:, None]
         out[:, :_N_CLASSES] = kinds / np.maximum(kinds.sum(1, keepdims=True), 1)
         size = (w.ends - w.starts).astype(np.float64)
         last, head = _CLASSES[w.data[w.ends - 1]], _CLASSES[w.data[w.starts]]
@@ -152,8 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000, most_passages: i
     return model.fit(np.concatenate(parts).astype(np.float64), first, label)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row, or the columns ``keep`` and the last two. Whole texts are read;
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row, or the columns ``keep`` with _score and _predicted; ``text`` names
+    the texts' column. Whole texts are read;
     null and empty ones are a passage without features. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +173,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str]
     wide = docs.select(*keep)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            y = model.scores(texts(b))
+        for b in slices(batches, text):
+            y = model.scores(texts(b, text))
             yield pa.record_batch([*b.columns, pa.array(y, pa.float64()), pa.array((y >= threshold).astype(np.int32))], [*b.schema.names, "_score", "_predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema.fields)
