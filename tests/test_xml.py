@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from treeshred.functions import scalars
 from treeshred.operators import dtd, nav
-from treeshred.operators.build import cdata, comment, h
+from treeshred.operators.build import cdata, comment, document, h, processing_instruction
+from treeshred.operators.build import dtd as doctype
 from treeshred.operators.lex import tokens
 from treeshred.operators.mutate import push, push_first, remove, replace, set_attr
-from treeshred.operators.serialize import serialize
+from treeshred.operators.serialize import serialize, serialize_subtrees, write_documents
 from treeshred.operators.shred import nodes
 from treeshred.operators.validate import require_valid, validate
 from treeshred.plans.sql import register
-from treeshred.plans.xpath import context, parse, xpath
-from treeshred.sources.documents import decode_bytes
+from treeshred.plans.xpath import context, documents, parse, xpath
+from treeshred.sources.documents import decode_bytes, from_column, numbered, read_documents
 from treeshred.streaming.shred_stream import shred_stream
 
-USERS = '<root><users><user id="1" role="admin"><name>Alice</name></user><user id="2" role="user"><name>Bob</name></user><user id="3" role="user"><name>Carol</name></user></users><settings><theme>dark</theme></settings></root>'
+FLEET = '<fleet><ships><ship no="7" port="Kiel"><name>Elbe</name></ship><ship no="12" port="Bremen"><name>Weser</name><crew>31</crew></ship><ship no="15" port="Bremen"><name>Ems</name></ship></ships><pilots><pilot>Ole</pilot></pilots></fleet>'
 
 
 def column(spark, expr, value):
@@ -81,32 +82,61 @@ def test_tokens(xml):
 @pytest.mark.parametrize(
     ("path", "found"),
     [
-        ("/root/users/user", ["user"] * 3),
-        ("//user[2]/name/text()", ["Bob"]),
-        ("//user[last()]/@id", ["3"]),
-        ("//user[@role='user']/name/text()", ["Bob", "Carol"]),
-        ("//user[@role='user'][1]/@id", ["2"]),
-        ("//user[@id]/@role", ["admin", "user", "user"]),
-        ("//user/..", ["users"] * 3),
-        ("/root/*", ["users", "settings"]),
-        ("//theme/node()", ["dark"]),
-        ("./root/.", ["root"]),
-        ("//user[0]", []),
-        ("//user[-1]", []),
+        ("/fleet/ships/ship", ["ship"] * 3),
+        ("//ship[2]/name/text()", ["Weser"]),
+        ("/fleet/ships/ship[2]/*", ["name", "crew"]),
+        ("/fleet/*/ship[@port='Bremen'][last()]/name/text()", ["Ems"]),
+        ("//ship[last()]/@no", ["15"]),
+        ("//ship[@port='Bremen']/name/text()", ["Weser", "Ems"]),
+        ("//ship[@port='Bremen'][1]/@no", ["12"]),
+        ("//ship[@no]/@port", ["Kiel", "Bremen", "Bremen"]),
+        ("//ship/name[3]/text()", ["Ems"]),
+        ("//ship/.", ["ship"] * 3),
+        ("//ship/node()/text()", ["Elbe", "Weser", "31", "Ems"]),
+        ("//ship/..", ["ships"] * 3),
+        ("//ship/../..//pilot/text()", ["Ole"] * 3),
+        ("/fleet/*", ["ships", "pilots"]),
+        ("//pilot/node()", ["Ole"]),
+        ("./fleet/.", ["fleet"]),
+        ("/nowhere/ship", []),
+        ("/ships/ship", []),
+        ("//ship[0]", []),
+        ("/fleet/ships[-1]", []),
+        ("//ship[4]", []),
         ("", []),
-        ("//text()", ["Alice", "Bob", "Carol", "dark"]),
-        ("/root//name", ["name"] * 3),
-        ("/root/users//", ["users", "user", "name", "Alice", "user", "name", "Bob", "user", "name", "Carol"]),
+        ("//text()", ["Elbe", "Weser", "31", "Ems", "Ole"]),
+        ("/fleet//name", ["name"] * 3),
+        ("/fleet/pilots//", ["pilots", "pilot", "Ole"]),
         ("/..", []),
-        ("/root/..", [None]),
-        ("//user/@id/..", []),
+        ("/fleet/..", [None]),
+        ("//ship/@no/..", []),
     ],
 )
 def test_xpath(xml, path, found):
-    rows = xpath(nodes(xml(USERS)), path).orderBy("ord").collect()
+    rows = xpath(nodes(xml(FLEET)), path).orderBy("ord").collect()
     assert [r.value if r.value is not None else r.tag for r in rows] == found
 
 
+@pytest.mark.parametrize("path", ["/r/a/b", "/r/*/b[2]", "//a/b", "//b[@k]", "//a//b", "//b[3]/text()", "//a/b[last()]", "/r/a[@k='1'][2]/b", "//b/..", "//*/a/node()", "//a[1]/a/b"])
+def test_xpath_single_pass_is_that_of_joins(xml, path):
+    rng = random.Random(path)
+
+    def some(depth):
+        kids = "".join(some(depth + 1) for _ in range(rng.randint(0, 3))) if depth < 5 else "t"
+        tag = rng.choice("aab")
+        return f'<{tag} k="{rng.randint(1, 2)}">{kids}</{tag}>' if rng.random() < 0.7 else f"<{tag}>{kids}</{tag}>"
+
+    tree = nodes(xml(*[f"<r>{''.join(some(1) for _ in range(6))}</r>" for _ in range(4)])).persist()
+    show = lambda df: [(r.doc_id, r.node_id) for r in df.orderBy("doc_id", "ord").collect()]
+    assert show(xpath(tree, path)) == show(xpath(tree, path, documents(tree)))
+
+
+def test_paths_read_documents_once(xml):
+    for path in ("/fleet/ships/ship[2]/name/text()", "//ship[@port='Kiel']/name/text()"):
+        plan = xpath(nodes(xml(FLEET)), path)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("posexplode") == 1
+
+
 def test_xpath_bag_and_context(xml):
     tree = nodes(xml("<r><a><a><b>1</b></a></a><a><b>2</b><b>3</b></a></r>")).persist()
     assert xpath(tree, "//a//b").count() == 4
@@ -145,6 +175,7 @@ LEVELS = [
     ("<a><!-- a -- b --></a>", "strict", False),
     ("<a>\x01</a>", "strict", False),
     ("<a>&#0;</a>", "strict", False),
+    ("<a><?1 x?></a>", "strict", False),
     ("<?xml version='1.0'?><!DOCTYPE a [<!ELEMENT a (b|c)*>]><a/>", "strict", True),
 ]
 
@@ -154,6 +185,9 @@ def test_validate(xml):
         some = [(s, ok) for s, at, ok in LEVELS if at == level]
         got = {r.doc_id: r.ok for r in validate(xml(*[s for s, _ in some]), level).collect()}
         assert [got[i] for i in range(1, len(some) + 1)] == [ok for _, ok in some], level
+    places = [("<a></b>", 3), ("é<a>", 2), ("<a/><b/>", 4), ("<a>\u00e9<b x='1' x='2'/></a>", 5)]
+    found = {r.doc_id: r.at for r in validate(xml(*[x for x, _ in places]), "lenient").collect()}
+    assert [found[1], found[2], found[3], found[4]] == [3, 2, None, 5]
 
 
 def test_null_source_is_data(xml):
@@ -163,15 +197,70 @@ def test_null_source_is_data(xml):
 
 
 def test_navigation(xml):
-    tree = nodes(xml(USERS)).persist()
-    users = tree.where("tag = 'users'")
-    assert nav.children(users, tree).count() == 3
-    assert nav.siblings(tree.where("tag = 'settings'"), tree).first().tag == "users"
-    assert nav.parent(tree.where("tag = 'theme'"), tree).first().tag == "settings"
-    assert nav.descendants(users, tree).count() == 9
-    assert {r.tag for r in nav.ancestors(tree.where("tag = 'theme'"), tree).collect()} == {"settings", "root", None}
-    assert nav.skip(users, tree).orderBy("node_id").first().tag == "settings"
-    assert {r.simple_value for r in nav.simple_values(tree).where("is_simple").collect()} == {"Alice", "Bob", "Carol", "dark"}
+    tree = nodes(xml(FLEET)).persist()
+    ships = tree.where("tag = 'ships'")
+    assert nav.children(ships, tree).count() == 3
+    assert nav.siblings(tree.where("tag = 'pilots'"), tree).first().tag == "ships"
+    assert [r.siblings for r in nav.sibling_counts(tree.where("tag in ('fleet', 'ship', 'crew')"), tree).orderBy("node_id").collect()] == [0, 2, 2, 1, 2]
+    assert nav.parent(tree.where("tag = 'pilot'"), tree).first().tag == "pilots"
+    assert nav.descendants(ships, tree).count() == 11
+    assert {r.tag for r in nav.ancestors(tree.where("tag = 'pilot'"), tree).collect()} == {"pilots", "fleet", None}
+    assert [r.tag for r in nav.resume(tree.where("tag in ('ships', 'pilots')"), tree).collect()] == ["pilots"]
+    assert {r.simple_value for r in nav.simple_values(tree).where("is_simple").collect()} == {"Elbe", "Weser", "31", "Ems", "Ole"}
+    assert nav.require_simple(tree.where("tag in ('name') or kind = 'Text'")).count() == 3
+    with pytest.raises(Exception, match="simple elements only"):
+        nav.require_simple(tree).collect()
+    assert {(r.node_id, r.depth) for r in nav.depth_below(tree.where("kind = 'Text'"), tree.where("tag = 'pilots'")).collect()} == {(tree.where("value = 'Ole'").first().node_id, 2)}
+    again = tree.select("doc_id", "node_id")
+    assert tree.join(again, nav.same_node(tree, again)).count() == tree.count()
+    assert tree.where("tag = 'ship'").select(nav.required("no").alias("no")).orderBy("no").first().no == "12"
+    with pytest.raises(Exception, match="no attribute no"):
+        tree.where("tag = 'crew'").select(nav.required("no")).collect()
+    assert [r.line for r in nav.print_tree(tree).orderBy("node_id").collect()][:5] == ["Document", "  Element fleet", "    Element ships", "      Element ship", "        Element name"]
+
+
+def test_events(xml):
+    steps = nav.events(nodes(xml("<r><a>t</a><!--c--><b/></r>"))).orderBy("seq").collect()
+    assert [(e.event, e.tag or e.kind) for e in steps] == [("node", "r"), ("node", "a"), ("node", "Text"), ("end", "a"), ("node", "Comment"), ("node", "b"), ("end", "b"), ("end", "r"), ("end", "Document")]
+    assert [e.seq for e in steps] == list(range(1, 10))
+
+
+def test_documents_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "<a><b/></a>"), (1, "<c/>"), (None, "<d>t</d>"), (None, "<e></f>"), (1, "<c/>")], "doc_id long, source string")
+    assert sorted((r.doc_id or 0, r.last_desc) for r in nodes(docs).where("kind = 'Document'").collect()) == [(0, 2), (0, 3), (1, 2), (1, 2), (1, 3)]
+    assert sorted((r.doc_id or 0, r.ok) for r in validate(docs).collect()) == [(0, False), (0, True), (1, True), (1, True), (1, True)]
+    own = numbered(docs)
+    assert own.select("doc_id").distinct().count() == 5 and sorted(map(str, own.collect())) == sorted(map(str, numbered(docs.repartition(3)).collect()))
+    tree = nodes(own).persist()
+    assert sorted(r.tag for r in nav.children(tree.where("kind = 'Document'"), tree).collect()) == ["a", "c", "c", "d", "e"]
+
+
+def test_reading_and_writing_files(spark, xml, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xml").write_bytes("<a>é</a>".encode("utf-16"))
+    (tmp_path / "in" / "b.xml").write_text("<b/>")
+    docs = read_documents(spark, str(tmp_path / "in"), "strict")
+    assert sorted(r.source for r in docs.collect()) == ["<a>é</a>", "<b/>"] and docs.select("doc_id").distinct().count() == 2
+    with pytest.raises(Exception, match="more than 5 bytes"):
+        read_documents(spark, str(tmp_path / "in"), most_bytes=5).collect()
+    (tmp_path / "in" / "c.xml").write_text("<c>")
+    with pytest.raises(Exception, match="unclosed element at byte 0"):
+        read_documents(spark, str(tmp_path / "in"), "lenient").collect()
+    write_documents(nodes(xml("<a><b/></a>")), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).first().xml == "<a>\n  <b/>\n</a>"
+    assert from_column(spark.createDataFrame([(5, "\ufeff<a/>")], "k int, x string"), "k", "x").first() == (5, "<a/>")
+
+
+def test_subtrees_are_written_alone(xml):
+    tree = nodes(xml('<r><a k="1"><b>t</b><!--c--></a>u</r>', "<a/>")).persist()
+    got = {(r.doc_id, r.node_id): r.xml for r in serialize_subtrees(tree, tree).collect()}
+    assert got == {(1, 1): '<r><a k="1"><b>t</b><!--c--></a>u</r>', (1, 2): '<r><a k="1"><b>t</b><!--c--></a>u</r>', (1, 3): '<a k="1">\n  <b>t</b>\n  <!--c-->\n</a>', (1, 4): "<b>t</b>", (1, 5): "t", (1, 6): "<!--c-->", (1, 7): "u", (2, 1): "<a/>", (2, 2): "<a/>"}
+
+
+def test_tokens_from_an_offset(xml):
+    docs = xml("<a é='1'><b/>x</a>")
+    assert [r.raw for r in tokens(docs, 10).orderBy("seq", "part").collect()] == ["<b", "/>", "x", "</a", ">"]
+    assert tokens(docs, 1000).count() == 0
 
 
 def test_digests(xml):
@@ -200,7 +289,7 @@ def test_serialize(xml, source, out):
 
 
 def test_serialize_is_a_fixed_point(xml):
-    docs = xml(USERS, "<a>t<b/></a>", "<r><x y='&#10;&lt;'/><![CDATA[z]]></r>")
+    docs = xml(FLEET, "<a>t<b/></a>", "<r><x y='&#10;&lt;'/><![CDATA[z]]></r>")
     once = serialize(nodes(docs)).withColumnRenamed("xml", "source").persist()
     assert {tuple(r) for r in once.collect()} == {tuple(r) for r in serialize(nodes(once)).collect()}
 
@@ -212,6 +301,17 @@ def test_mutation(xml):
     assert out(push(tree, F.col("tag") == "r", "Element", "z")) == "<r><a/><b>t</b><z/></r>"
     assert out(push_first(tree, F.col("tag") == "r", "Element", "z")) == "<r><z/><a/><b>t</b></r>"
     assert out(remove(tree, F.col("tag") == "b")) == "<r><a/></r>"
+    assert out(push(tree, F.col("tag") == "r", "Element", "z", attrs={"k": "1", "t": F.col("tag")})) == '<r><a/><b>t</b><z k="1" t="r"/></r>'
+    some = '<x k="&lt;"><y>u</y></x><!--c-->'
+    assert out(push(tree, F.col("kind") == "Element", xml=some)) == f"<r><a>{some}</a><b>t{some}</b>{some}</r>"
+    assert out(push_first(tree, F.col("tag").isin("r", "b"), xml=some)) == f"<r>{some}<a/><b>{some}t</b></r>"
+    assert out(replace(tree, F.col("kind") != "Document", xml=some)) == some
+    assert out(replace(tree, F.col("tag") == "a", xml="<q/>v")) == "<r><q/>v<b>t</b></r>"
+    for wrong in ({}, {"kind": "Element", "xml": "<a/>"}):
+        with pytest.raises(ValueError):
+            push(tree, F.col("tag") == "r", **wrong)
+    with pytest.raises(Exception, match="unclosed"):
+        push(tree, F.col("tag") == "r", xml="<a>")
 
 
 def test_builders(spark):
@@ -221,6 +321,20 @@ def test_builders(spark):
         spark.createDataFrame([("-->",)], "x string").select(comment(F.col("x")).column).collect()
 
 
+def test_constructors_check(spark):
+    for wrong in (lambda: h("a b"), lambda: h.a(**{"1k": "v"}), lambda: processing_instruction("1"), lambda: document("text")):
+        with pytest.raises(ValueError):
+            wrong()
+    more = h.a("x", k="1")(h.b(), k="2", j="3")
+    row = spark.range(1).select(document(processing_instruction("p", F.lit("q")), doctype("a"), more).alias("x")).first().x
+    assert row == '<?p q?><!DOCTYPE a><a k="2" j="3">x<b/></a>'
+
+
+def test_dtd_steps_over_unknown_text():
+    got = dtd.parse("r [<!ELEMENT a EMPTY> stray <!OTHER x> <!ELEMENT b ANY>]")
+    assert [e["name"] for e in got["elements"]] == ["a", "b"] and got["error"]
+
+
 def test_dtd():
     got = dtd.parse('r SYSTEM "r.dtd" [<!-- c --><!ELEMENT r (a|(b,c)*)><!ATTLIST r id ID #REQUIRED k (x|y) "x" f CDATA #FIXED "é"><!ENTITY % p "v"><!ENTITY e SYSTEM "u" NDATA n><!NOTATION n PUBLIC "p"> %p; ]')
     assert got["root"] == "r" and got["system_id"] == "r.dtd" and got["error"] is None
@@ -237,12 +351,12 @@ def test_byte_order_marks(spark):
 
 
 def test_views_and_stream(spark, xml, tmp_path):
-    register(xml(USERS), "u")
-    assert spark.sql("SELECT count(*) FROM u_nodes WHERE tag = 'user'").first()[0] == 3
-    xml(USERS, "<a/>").write.parquet(str(tmp_path / "in"))
+    register(xml(FLEET), "u")
+    assert spark.sql("SELECT count(*) FROM u_nodes WHERE tag = 'ship'").first()[0] == 3
+    xml(FLEET, "<a/>").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("doc_id long, source string").parquet(str(tmp_path / "in"))
     shred_stream(stream, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).where("tag = 'user'").count() == 3
+    assert spark.read.parquet(str(tmp_path / "out")).where("tag = 'ship'").count() == 3
 
 
 def random_tree(seed, n):

@@ -125,7 +125,8 @@ def _entity(r: _Reader, out: dict) -> None:
 
 
 def parse(value: str | None) -> dict:
-    """What a DTD node's value declares; ``error`` tells where reading ended early, if it did."""
+    """What a DTD node's value declares; ``error`` tells where a declaration broke off, which ends
+    reading, or else where the first text stands that is none and was stepped over."""
     out: dict = {"root": None, "system_id": None, "public_id": None, "elements": [], "attributes": [], "entities": [], "notations": [], "error": None}
     if value is None:
         return out
@@ -153,8 +154,9 @@ def parse(value: str | None) -> dict:
                 external = r.external()
                 r.rest()
                 out["notations"].append({"name": name, "external_id": _external_text(external) if external else None})
-            else:
-                raise ValueError(f"no declaration is known at {r.at}")
+            else:  # stepped over; what follows is read
+                out["error"] = out["error"] or f"no declaration is known at {r.at}"
+                r.at += 1
     except ValueError as e:
         out["error"] = str(e)
     return out

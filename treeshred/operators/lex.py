@@ -43,16 +43,17 @@ def lexeme_kind(raw: Column) -> Column:
 
 
 def lexemes(docs: DataFrame) -> DataFrame:
-    """(doc_id, seq, raw, kind, size, complete): lexemes in order from 1; seq 0 stands for the document itself.
+    """(doc_id, doc_no, seq, raw, kind, size, complete): lexemes in order from 1; seq 0 stands for the document itself.
 
-    Documents are dealt by doc_id before they are taken apart, so the windows that follow need no other shuffle.
-    complete: whether the lexemes tile the source. A null source has only its document row.
+    Documents are dealt by doc_id before they are taken apart, so the windows that follow need no other shuffle. doc_no
+    tells rows apart that share a doc_id, or have none: each row is a document of its own. It holds for one run only.
+    complete: whether the lexemes tile the source. A null source has only its document row and isn't complete.
     """
     parts = F.regexp_extract_all(F.coalesce("source", F.lit("")), F.lit(f"({LEXEME})"), F.lit(0))
-    cut = docs.select("doc_id", "source").repartition("doc_id").withColumn("_parts", parts)
+    cut = docs.select("doc_id", "source").repartition("doc_id").withColumn("doc_no", F.monotonically_increasing_id()).withColumn("_parts", parts)
     whole = F.aggregate("_parts", F.lit(0), lambda n, p: n + F.octet_length(p)) == F.octet_length(F.coalesce("source", F.lit("")))
-    rows = cut.withColumn("complete", whole).select("doc_id", "complete", F.posexplode(F.concat(F.array(F.lit("")), F.col("_parts"))).alias("seq", "raw"))
-    return rows.select("doc_id", "seq", "raw", F.when(F.col("seq") == 0, "document").otherwise(lexeme_kind(F.col("raw"))).alias("kind"), F.octet_length("raw").alias("size"), "complete")
+    rows = cut.withColumn("complete", whole & F.col("source").isNotNull()).select("doc_id", "doc_no", "complete", F.posexplode(F.concat(F.array(F.lit("")), F.col("_parts"))).alias("seq", "raw"))
+    return rows.select("doc_id", "doc_no", "seq", "raw", F.when(F.col("seq") == 0, "document").otherwise(lexeme_kind(F.col("raw"))).alias("kind"), F.octet_length("raw").alias("size"), "complete")
 
 
 def attributes(raw: Column) -> Column:
@@ -70,8 +71,12 @@ def pi_target(raw: Column) -> Column:
     return F.regexp_extract(raw, rf"^<\?({NAME_CHARS}*+)", 1)
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, seq, part, kind, raw, has_entities): the tokens of each lexeme, in the reference's kinds."""
+def tokens(docs: DataFrame, start: Column | int = 0) -> DataFrame:
+    """(doc_id, seq, part, kind, raw, has_entities): the tokens of each lexeme, from the byte ``start`` (from 0) on, which
+    should be where one begins; a start at or beyond the end gives none."""
+    if not isinstance(start, int) or start:
+        tail = F.decode(F.substring(F.encode("source", "UTF-8"), F.lit(start) + 1, F.octet_length("source")), "UTF-8")
+        docs = docs.select("doc_id", tail.alias("source"))
     t = lambda kind, raw: F.struct(F.lit(kind).alias("kind"), raw.alias("raw"))
     raw = F.col("raw")
     attrs = F.flatten(F.transform(attributes(raw), lambda a: F.array(t("ATTR_NAME", a["name"]), t("ATTR_VALUE", a["value"]))))

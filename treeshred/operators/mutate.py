@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .interval import within
+from .shred import nodes as shred
+from .validate import require_valid
 
 
 def set_attr(nodes: DataFrame, where: Column, name: str, value: Column) -> DataFrame:
@@ -17,15 +19,15 @@ def set_attr(nodes: DataFrame, where: Column, name: str, value: Column) -> DataF
     return nodes.withColumn("attrs", F.when((F.col("kind") == "Element") & F.coalesce(where, F.lit(False)), F.when(has, replaced).otherwise(appended)).otherwise(F.col("attrs")))
 
 
-def _place(a: Column, b: int = 0, c: Column | None = None) -> Column:
-    return F.struct(a.cast("int").alias("a"), F.lit(b).alias("b"), (F.lit(0) if c is None else c).cast("int").alias("c"))
+def _place(a: Column, b: int = 0, c: Column | None = None, d: Column | int = 0) -> Column:
+    return F.struct(a.cast("int").alias("a"), F.lit(b).alias("b"), (F.lit(0) if c is None else c).cast("int").alias("c"), F.lit(d).cast("int").alias("d"))
 
 
 def _renumber(rows: DataFrame) -> DataFrame:
     """Rows with an ``_at`` sort key, in document order, and depths: all else that depends on it is made anew.
 
     Where an old node's subtree ended is a place in the same order, so one running count gives ids and ends alike."""
-    end = _place(F.col("last_desc"), 1, -(F.col("depth") + 1))
+    end = _place(F.col("last_desc"), 1, -(F.col("depth") + 1), (1 << 31) - 1)
     events = rows.select("*", F.explode(F.when(F.col("_made"), F.array(F.struct(F.col("_at").alias("at"), F.lit(0).alias("ends")))).otherwise(F.array(F.struct(F.col("_at").alias("at"), F.lit(0).alias("ends")), F.struct(end.alias("at"), F.lit(1).alias("ends"))))).alias("_e"))
     running = Window.partitionBy("doc_id").orderBy("_e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     events = events.withColumn("_id", F.count(F.when(F.col("_e.ends") == 0, 1)).over(running).cast("int"))
@@ -33,49 +35,69 @@ def _renumber(rows: DataFrame) -> DataFrame:
     up = events.where("_e.ends = 0").drop("_e")
     up = up.join(ends, (F.col("_d") == up["doc_id"]) & (F.col("_old") == up["node_id"]), "left").drop("_d", "_old")
     ids = up.where(~F.col("_made")).select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_old"), F.col("_id").alias("_new"))
-    whole = up.join(ids, (F.col("_d") == up["doc_id"]) & (F.col("_old") == up["parent_id"]), "left").withColumn("parent_id", F.col("_new"))
+    whole = up.join(ids, (F.col("_d") == up["doc_id"]) & (F.col("_old") == up["parent_id"]), "left").withColumn("parent_id", F.coalesce(F.col("_id") - F.col("_up"), "_new"))
     place = Window.partitionBy("doc_id", "parent_id").orderBy("_id")
     none = F.lit(None).cast("int")
-    return whole.select("doc_id", F.col("_id").alias("node_id"), "parent_id", F.when(F.col("parent_id").isNotNull(), F.row_number().over(place)).alias("child_pos"), "kind", "tag", "value", "attrs", "depth", F.coalesce("_last", "_id").alias("last_desc"), none.alias("span_start"), none.alias("span_end"))
+    return whole.select("doc_id", F.col("_id").alias("node_id"), "parent_id", F.when(F.col("parent_id").isNotNull(), F.row_number().over(place)).alias("child_pos"), "kind", "tag", "value", "attrs", "depth", F.coalesce("_last", F.col("_id") + F.coalesce("_span", F.lit(0))).cast("int").alias("last_desc"), none.alias("span_start"), none.alias("span_end"))
 
 
-def _child(of: DataFrame, kind: str, tag: str | None, value: Column | None, at: Column) -> DataFrame:
-    text = F.lit(None).cast("string") if value is None else value.cast("string")
-    return of.select("doc_id", F.lit(None).cast("int").alias("node_id"), F.col("node_id").alias("parent_id"), F.lit(None).cast("int").alias("child_pos"), F.lit(kind).alias("kind"), F.lit(tag).cast("string").alias("tag"), text.alias("value"), F.expr("cast(array() as array<struct<name:string,value:string>>)").alias("attrs"), (F.col("depth") + 1).alias("depth"), F.lit(None).cast("int").alias("last_desc"), at.alias("_at"), F.lit(True).alias("_made"))
+def _fragment(nodes: DataFrame, kind: str | None, tag: str | None, value: Column | None, attrs: dict | None, xml: str | None) -> Column:
+    """What is put in, as an array of nodes in order: one of ``kind``, or all of an XML text. Each knows how far before it
+    its parent stands (null for the outermost), its depth from 0, and how many nodes it holds."""
+    none = "cast(array() as array<struct<name:string,value:string>>)"
+    pairs = lambda some: F.array(*[F.struct(F.lit(k).alias("name"), (v if isinstance(v, Column) else F.lit(v)).cast("string").alias("value")) for k, v in some]) if some else F.expr(none)
+    row = lambda n, up, kind, tag, value, attrs, deep, span: F.struct(F.lit(n).alias("n"), F.lit(up).cast("int").alias("up"), F.lit(kind).alias("kind"), F.lit(tag).cast("string").alias("tag"), value.cast("string").alias("value"), attrs.alias("attrs"), F.lit(deep).alias("deep"), F.lit(span).alias("span"))
+    if xml is None:
+        if kind is None:
+            raise ValueError("what is put in needs a kind or an XML text")
+        return F.array(row(0, None, kind, tag, F.lit(None) if value is None else value, pairs(list((attrs or {}).items())), 0, 0))
+    if kind is not None:
+        raise ValueError("what is put in has a kind or an XML text, not both")
+    docs = nodes.sparkSession.createDataFrame([(0, xml)], "doc_id long, source string")
+    found = shred(require_valid(docs, "lenient")).where("kind <> 'Document'").orderBy("node_id").collect()  # as long as the caller's text
+    return F.array(*[row(r.node_id - 2, r.node_id - r.parent_id if r.parent_id > 1 else None, r.kind, r.tag, F.lit(r.value), pairs([(a.name, a.value) for a in r.attrs]), r.depth - 2, r.last_desc - r.node_id) for r in found])
 
 
-def _with(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    old = nodes.drop("span_start", "span_end").withColumn("_at", _place(F.col("node_id"))).withColumn("_made", F.lit(False))
-    return _renumber(old.unionByName(new))
+def _new(of: DataFrame, what: Column, parent: Column, depth: Column, at) -> DataFrame:
+    rows = of.select("*", F.explode(what).alias("_f"))
+    none = lambda name: F.lit(None).cast("int").alias(name)
+    return rows.select("doc_id", none("node_id"), F.when(F.col("_f.up").isNull(), parent).cast("int").alias("parent_id"), none("child_pos"), "_f.kind", "_f.tag", "_f.value", "_f.attrs", (depth + F.col("_f.deep")).cast("int").alias("depth"), none("last_desc"), at(F.col("_f.n")).alias("_at"), F.lit(True).alias("_made"), F.col("_f.up").alias("_up"), F.col("_f.span").alias("_span"))
 
 
-def push(nodes: DataFrame, where: Column, kind: str, tag: str | None = None, value: Column | None = None) -> DataFrame:
-    """Adds a last child to each node that ``where`` holds for. Spans are null from then on."""
-    at = _place(F.col("last_desc"), 1, -(F.col("depth") + 1))
-    return _with(nodes, _child(nodes.where(where), kind, tag, value, at))
+def _old(nodes: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("int")
+    return nodes.drop("span_start", "span_end").withColumn("_at", _place(F.col("node_id"))).withColumn("_made", F.lit(False)).withColumn("_up", none).withColumn("_span", none)
+
+
+def push(nodes: DataFrame, where: Column, kind: str | None = None, tag: str | None = None, value: Column | None = None, attrs: dict | None = None, xml: str | None = None) -> DataFrame:
+    """Adds a last child to each node that ``where`` holds for: one of ``kind`` with ``attrs`` (names to columns or texts),
+    or the nodes of an XML text, which must nest. Spans are null from then on."""
+    what = _fragment(nodes, kind, tag, value, attrs, xml)
+    at = lambda n: _place(F.col("last_desc"), 1, -(F.col("depth") + 1), n)
+    return _renumber(_old(nodes).unionByName(_new(nodes.where(where), what, F.col("node_id"), F.col("depth") + 1, at)))
+
 
+def push_first(nodes: DataFrame, where: Column, kind: str | None = None, tag: str | None = None, value: Column | None = None, attrs: dict | None = None, xml: str | None = None) -> DataFrame:
+    """Adds a first child, as push() adds a last one."""
+    what = _fragment(nodes, kind, tag, value, attrs, xml)
+    at = lambda n: _place(F.col("node_id"), 0, F.lit(1), n)
+    return _renumber(_old(nodes).unionByName(_new(nodes.where(where), what, F.col("node_id"), F.col("depth") + 1, at)))
 
-def push_first(nodes: DataFrame, where: Column, kind: str, tag: str | None = None, value: Column | None = None) -> DataFrame:
-    """Adds a first child."""
-    at = _place(F.col("node_id"), 0, F.lit(1))
-    return _with(nodes, _child(nodes.where(where), kind, tag, value, at))
+
+def _spans(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), F.col("last_desc").alias("_l"))
 
 
 def remove(nodes: DataFrame, where: Column) -> DataFrame:
     """Takes out the nodes that ``where`` holds for, and all that is in them."""
-    gone = nodes.where(where & (F.col("kind") != "Document")).select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), F.col("last_desc").alias("_l"))
-    kept = within(gone, nodes, how="left_anti")
-    return _renumber(kept.drop("span_start", "span_end").withColumn("_at", _place(F.col("node_id"))).withColumn("_made", F.lit(False)))
-
-
-def replace(nodes: DataFrame, where: Column, kind: str, tag: str | None = None, value: Column | None = None) -> DataFrame:
-    """Puts a new childless node in the place of each that ``where`` holds for, and of all that is in it."""
-    hit = F.coalesce(where, F.lit(False)) & (F.col("kind") != "Document")
-    marked = nodes.withColumn("_hit", hit)
-    text = F.lit(None).cast("string") if value is None else value.cast("string")
-    bare = F.filter("attrs", lambda a: F.lit(False))
-    new = {"kind": F.lit(kind), "tag": F.lit(tag).cast("string"), "value": text, "attrs": bare, "last_desc": F.col("node_id")}
-    changed = marked.select(*[F.when(F.col("_hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in nodes.columns])
-    inner = nodes.where(hit & (F.col("last_desc") > F.col("node_id"))).select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), F.col("last_desc").alias("_l"))
-    kept = within(inner, changed, or_self=False, how="left_anti")
-    return _renumber(kept.drop("span_start", "span_end").withColumn("_at", _place(F.col("node_id"))).withColumn("_made", F.lit(False)))
+    return _renumber(_old(within(_spans(nodes.where(where & (F.col("kind") != "Document"))), nodes, how="left_anti")))
+
+
+def replace(nodes: DataFrame, where: Column, kind: str | None = None, tag: str | None = None, value: Column | None = None, attrs: dict | None = None, xml: str | None = None) -> DataFrame:
+    """Puts what push() would add in the place of each node that ``where`` holds for, and of all that is in it."""
+    what = _fragment(nodes, kind, tag, value, attrs, xml)
+    hit = nodes.where(where & (F.col("kind") != "Document"))
+    outer = within(_spans(hit), hit, or_self=False, how="left_anti")
+    at = lambda n: _place(F.col("node_id"), 0, F.lit(0), n)
+    kept = within(_spans(hit), nodes, how="left_anti")
+    return _renumber(_old(kept).unionByName(_new(outer, what, F.col("parent_id"), F.col("depth"), at)))

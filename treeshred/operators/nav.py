@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .interval import within
@@ -31,6 +35,7 @@ def parent(of: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def siblings(of: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The siblings of some nodes, a row a pair. For all nodes of a wide parent that is its square: see sibling_counts()."""
     return _pairs(of, nodes, lambda a, b: (b["parent_id"] == a["_p"]) & (b["node_id"] != a["of"]))
 
 
@@ -46,9 +51,38 @@ def ancestors(of: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.select(F.col("node_id").alias("of"), *[F.col(f"_own_{c}").alias(c) for c in nodes.columns])
 
 
-def skip(of: DataFrame, nodes: DataFrame) -> DataFrame:
-    """What follows each node's subtree in document order."""
-    return _pairs(of, nodes, lambda a, b: b["node_id"] > a["_l"])
+def sibling_counts(of: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, siblings): how many each node has, without a row a pair; 0 for what has no parent."""
+    kids = nodes.where("parent_id is not null").groupBy(F.col("doc_id").alias("_d"), F.col("parent_id").alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
+    j = of.join(kids, (of["doc_id"] == kids["_d"]) & (of["parent_id"] == kids["_p"]), "left")
+    return j.select("doc_id", "node_id", F.coalesce(F.col("_k") - 1, F.lit(0)).alias("siblings"))
+
+
+def resume(of: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Where reading goes on after each node's subtree is skipped: the one node that follows it, if any does."""
+    return _pairs(of, nodes, lambda a, b: b["node_id"] == a["_l"] + 1)
+
+
+def events(nodes: DataFrame) -> DataFrame:
+    """(doc_id, seq, event, node_id, kind, tag, value, attrs, depth): a pull reader's steps in order, from 1: "node" for
+    each node but the Document, and "end" after what an Element or the Document holds."""
+    at = lambda a, b, c, name: F.struct(a.alias("a"), F.lit(b).alias("b"), c.alias("c"), F.lit(name).alias("name"))
+    begin, end = at(F.col("node_id"), 0, F.lit(0), "node"), at(F.col("last_desc"), 1, -F.col("depth"), "end")
+    both = F.when(F.col("kind") == "Document", F.array(end)).when(F.col("kind") == "Element", F.array(begin, end)).otherwise(F.array(begin))
+    rows = nodes.withColumn("_e", F.explode(both))
+    order = Window.partitionBy("doc_id").orderBy("_e.a", "_e.b", "_e.c")
+    return rows.select("doc_id", F.row_number().over(order).alias("seq"), F.col("_e.name").alias("event"), "node_id", "kind", "tag", "value", "attrs", "depth")
+
+
+def depth_below(of: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, root, node_id, depth): how far each node lies below each of ``roots`` that holds it; 0 for itself."""
+    spans = roots.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("root"), F.col("last_desc").alias("_l"), F.col("depth").alias("_depth"))
+    return within(spans, of, first="root").select("doc_id", "root", "node_id", (F.col("depth") - F.col("_depth")).alias("depth"))
+
+
+def same_node(a: DataFrame, b: DataFrame) -> Column:
+    """Whether rows of two frames are one node: the same place in one document, not merely alike."""
+    return (a["doc_id"] == b["doc_id"]) & (a["node_id"] == b["node_id"])
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
@@ -112,29 +146,49 @@ def simple_values(nodes: DataFrame) -> DataFrame:
     return j.select("doc_id", "node_id", "tag", (only & (F.size("attrs") == 0)).alias("is_simple"), F.when(only, F.col("_c.value")).alias("simple_value"))
 
 
-def _bytes(source: Column, start: Column, end: Column) -> Column:
-    return F.decode(F.substring(F.encode(source, "UTF-8"), start + 1, end - start), "UTF-8")
+def require_simple(nodes: DataFrame) -> DataFrame:
+    """As simple_values(); the job fails at an Element that isn't simple."""
+    rows = simple_values(nodes)
+    return rows.withColumn("simple_value", F.when(F.col("is_simple"), F.col("simple_value")).otherwise(F.raise_error(F.lit("simple_value is for simple elements only")).cast("string")))
+
+
+def _in_source(nodes: DataFrame, docs: DataFrame, make, kind: str) -> DataFrame:
+    """(doc_id, node_id, span_start, span_end, of): ``of`` is what ``make`` gives for a source and the spans asked of it.
+    A document comes once with all its spans, and is encoded once; the slices cost what they are long."""
+    spans = nodes.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("node_id", "span_start", "span_end")).alias("_s"))
+    j = docs.select("doc_id", "source").join(spans, F.col("doc_id") == F.col("_d"))
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for sources, starts, ends in batches:
+            yield pd.Series([None if s is None else make(s.encode(), a, b) for s, a, b in zip(sources, starts, ends, strict=True)])
+
+    found = F.pandas_udf(run, f"array<{kind}>")("source", F.col("_s.span_start"), F.col("_s.span_end"))
+    rows = j.select("doc_id", "_s", found.alias("_f")).select("doc_id", F.explode(F.arrays_zip("_s", "_f")).alias("_x"))
+    return rows.select("doc_id", "_x._s.*", F.col("_x._f").alias("of"))
 
 
 def source_text(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, node_id, source_text): each node as it is written. The source's rows are joined to the nodes asked for."""
-    d = docs.select(F.col("doc_id").alias("_d"), "source")
-    return nodes.join(d, nodes["doc_id"] == d["_d"]).select("doc_id", "node_id", _bytes(F.col("source"), F.col("span_start"), F.col("span_end")).alias("source_text"))
+    """(doc_id, node_id, source_text): each node as it is written."""
+    slices = lambda s, a, b: [s[i:j].decode() for i, j in zip(a, b, strict=True)]
+    return _in_source(nodes, docs, slices, "string").select("doc_id", "node_id", F.col("of").alias("source_text"))
 
 
 def source_span(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, node_id, span_start, span_end, char_start, char_end): bytes and code points, from 0, end excluded."""
-    d = docs.select(F.col("doc_id").alias("_d"), "source")
-    chars = lambda x: F.length(_bytes(F.col("source"), F.lit(0), x))
-    return nodes.join(d, nodes["doc_id"] == d["_d"]).select("doc_id", "node_id", "span_start", "span_end", chars(F.col("span_start")).alias("char_start"), chars(F.col("span_end")).alias("char_end"))
+
+    def chars(s, a, b):
+        before = np.concatenate(([0], np.cumsum(np.frombuffer(s, np.uint8) & 0xC0 != 0x80)))  # a code point's first byte
+        return [[int(before[i]), int(before[j])] for i, j in zip(a, b, strict=True)]
+
+    found = _in_source(nodes, docs, chars, "array<int>")
+    return found.select("doc_id", "node_id", "span_start", "span_end", F.col("of")[0].alias("char_start"), F.col("of")[1].alias("char_end"))
 
 
 def splice(nodes: DataFrame, docs: DataFrame, replacement: str = "") -> DataFrame:
-    """(doc_id, node_id, spliced): the source with the node replaced."""
-    d = docs.select(F.col("doc_id").alias("_d"), "source")
-    src = F.col("source")
-    out = F.concat(_bytes(src, F.lit(0), F.col("span_start")), F.lit(replacement), _bytes(src, F.col("span_end"), F.octet_length(src)))
-    return nodes.join(d, nodes["doc_id"] == d["_d"]).select("doc_id", "node_id", out.alias("spliced"))
+    """(doc_id, node_id, spliced): for each node the whole source with it replaced."""
+    put = replacement.encode()
+    whole = lambda s, a, b: [(s[:i] + put + s[j:]).decode() for i, j in zip(a, b, strict=True)]
+    return _in_source(nodes, docs, whole, "string").select("doc_id", "node_id", F.col("of").alias("spliced"))
 
 
 def digests(roots: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -56,6 +56,23 @@ def serialize(nodes: DataFrame, indent: int = 2) -> DataFrame:
     return every.join(found, "doc_id", "left").select("doc_id", F.coalesce("xml", F.lit("")).alias("xml"))
 
 
+def serialize_subtrees(of: DataFrame, nodes: DataFrame, indent: int = 2) -> DataFrame:
+    """(doc_id, node_id, xml): each node of ``of`` written as if it stood alone; a Document as serialize() does."""
+    is_doc = F.col("kind") == "Document"
+    spans = of.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("of"), F.col("last_desc").alias("_l"), F.col("depth").alias("_depth"), F.when(is_doc, 0).otherwise(1).alias("_more"))
+    j = within(spans, nodes, first="of")
+    key, shift = F.struct("doc_id", F.col("of").alias("node_id")), F.col("_more") + 1 - F.col("of")
+    moved = lambda c: (F.col(c) + shift).alias(c)
+    top = F.col("node_id") == F.col("of")
+    parent = F.when(top, F.when(F.col("_more") == 1, 1)).otherwise(F.col("parent_id") + shift).cast("int")
+    depth = (F.col("depth") - F.col("_depth") + F.col("_more") + 1).alias("depth")
+    rows = j.select(key.alias("doc_id"), moved("node_id"), parent.alias("parent_id"), "kind", "tag", "value", "attrs", depth, moved("last_desc"))
+    size = (F.col("last_desc") - F.col("node_id") + 2).alias("last_desc")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    around = of.where(~is_doc).select(F.struct("doc_id", "node_id").alias("doc_id"), F.lit(1).alias("node_id"), none("int", "parent_id"), F.lit("Document").alias("kind"), none("string", "tag"), none("string", "value"), F.expr("cast(array() as array<struct<name:string,value:string>>)").alias("attrs"), F.lit(1).alias("depth"), size)
+    return serialize(around.unionByName(rows), indent).select("doc_id.doc_id", "doc_id.node_id", "xml")
+
+
 def write_documents(nodes: DataFrame, path: str, indent: int = 2) -> None:
     """A Parquet table of (doc_id, xml); text files would break documents at their line ends."""
     serialize(nodes, indent).write.mode("overwrite").parquet(path)

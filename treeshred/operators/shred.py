@@ -23,7 +23,7 @@ def placed(docs: DataFrame) -> DataFrame:
     its match: ``open_id``, ``open_name`` of the element that a closing tag meets, ``close_seq``, ``close_end`` and
     ``close_nodes`` of the tag that closes an open one; of nodes ``parent_id`` and ``child_pos``. Two sorts, by seq and
     by depth and seq, serve it all."""
-    by_seq = Window.partitionBy("doc_id").orderBy("seq")
+    by_seq = Window.partitionBy("doc_id", "doc_no").orderBy("seq")
     running = by_seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kind = F.col("kind")
     step = F.when(kind.isin("open", "document"), 1).when(kind == "close", -1).otherwise(0)
@@ -42,18 +42,18 @@ def placed(docs: DataFrame) -> DataFrame:
         .drop("_after", "_above")
     )
     # Along one depth the children of a node are neighbours, and a tag's match is the next or last tag.
-    level = Window.partitionBy("doc_id", "depth").orderBy("seq")
+    level = Window.partitionBy("doc_id", "doc_no", "depth").orderBy("seq")
     so_far = level.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
-        rows.withColumn("_last", F.expr("lag(_tag) ignore nulls over (partition by doc_id, depth order by seq)"))
-        .withColumn("_next", F.expr("lead(_tag) ignore nulls over (partition by doc_id, depth order by seq)"))
+        rows.withColumn("_last", F.expr("lag(_tag) ignore nulls over (partition by doc_id, doc_no, depth order by seq)"))
+        .withColumn("_next", F.expr("lead(_tag) ignore nulls over (partition by doc_id, doc_no, depth order by seq)"))
         .withColumn("parent_id", F.when(kind != "close", F.last("_parent", ignorenulls=True).over(so_far)))
         .withColumn("_nth", F.count(F.when(kind != "close", 1)).over(so_far))
         .withColumn("_first", F.last(F.when(F.col("_parent").isNotNull(), F.col("_nth")), ignorenulls=True).over(so_far))
     )
     shuts, shut = (kind == "close") & (F.col("_last.kind") == "open"), (kind == "open") & (F.col("_next.kind") == "close")
     return found.select(
-        "doc_id", "seq", "raw", "kind", "size", "complete", "start", "end", "node_id", "name", "depth", "parent_id",
+        "doc_id", "doc_no", "seq", "raw", "kind", "size", "complete", "start", "end", "node_id", "name", "depth", "parent_id",
         F.when(F.col("parent_id").isNotNull(), F.col("_nth") - F.col("_first") + 1).cast("int").alias("child_pos"),
         F.when(shuts, F.col("_last.node_id")).alias("open_id"),
         F.when(shuts, F.col("_last.name")).alias("open_name"),
@@ -71,7 +71,9 @@ def attrs_of(raw: Column, decode: bool = True) -> Column:
 
 def nodes(docs: DataFrame, decode: bool = True) -> DataFrame:
     """The nodes of (doc_id, source), columns as in COLUMNS. Documents that don't lex or nest give what can be told of
-    them (a node after a stray closing tag has no parent and no child_pos); validate() says which these are. Without ``decode`` entities stay as they are written."""
+    them (a node after a stray closing tag has no parent and no child_pos); validate() says which these are. Without
+    ``decode`` entities stay as they are written. Rows that share a doc_id, or have none, are trees of their own here, but
+    navigation finds nodes by doc_id and node_id: number such documents first (sources.documents.numbered)."""
     raw, kind = F.col("raw"), F.col("kind")
     inner = lambda a, b: F.substring(raw, F.lit(a + 1), F.length(raw) - a - b)
     pi_body = F.ltrim(F.regexp_replace(raw, rf"^<\?{NAME_CHARS}*+|\?>$", ""), F.lit(" \t\r\n"))
@@ -85,7 +87,7 @@ def nodes(docs: DataFrame, decode: bool = True) -> DataFrame:
     name = F.lit(None).cast("string")
     for lexeme, node in KINDS.items():
         name = F.when(kind == lexeme, F.lit(node)).otherwise(name)
-    whole = Window.partitionBy("doc_id")
+    whole = Window.partitionBy("doc_id", "doc_no")
     rows = placed(docs).withColumn("_most", F.max("node_id").over(whole)).withColumn("_end", F.max("end").over(whole)).where(kind != "close")
     is_doc = kind == "document"
     return rows.select(

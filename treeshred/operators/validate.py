@@ -1,4 +1,4 @@
-"""Well-formedness at three levels, as data: (doc_id, ok, error)."""
+"""Well-formedness at three levels, as data: (doc_id, ok, error, at)."""
 
 from __future__ import annotations
 
@@ -20,7 +20,8 @@ def _first(*cases: tuple[Column, str]) -> Column:
 
 
 def validate(docs: DataFrame, level: str = "structural") -> DataFrame:
-    """Whether each document is well-formed, and the first thing that is wrong with it; a null source has a lexical error."""
+    """Whether each document (each row, whatever its doc_id) is well-formed, the first thing that is wrong with it, and the
+    byte at which what is wrong begins (from 0). A null source has a lexical error."""
     if level not in LEVELS:
         raise ValueError(f"level must be one of {', '.join(LEVELS)}")
     rows = placed(docs)
@@ -41,8 +42,8 @@ def validate(docs: DataFrame, level: str = "structural") -> DataFrame:
         top = F.col("depth") == 2
         root = top & tag
         blank = raw.rlike(r"(?U)^\s*$")
-        by_seq = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy("doc_id")
+        by_seq = Window.partitionBy("doc_id", "doc_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy("doc_id", "doc_no")
         rows = rows.withColumn("_roots", F.coalesce(F.sum(F.when(root, 1).otherwise(0)).over(by_seq), F.lit(0))).withColumn("_dtds", F.coalesce(F.sum(F.when(kind == "doctype", 1).otherwise(0)).over(by_seq), F.lit(0)))
         rows = rows.withColumn("_all_roots", F.sum(F.when(root, 1).otherwise(0)).over(whole)).withColumn("_markup", F.max(F.when(kind.isin("document", "text"), 0).otherwise(1)).over(whole))
         cases += [
@@ -64,16 +65,13 @@ def validate(docs: DataFrame, level: str = "structural") -> DataFrame:
             ((kind == "pi") & ~pi_target(raw).rlike(f"^{NAME_START}"), "invalid target of a processing instruction"),
         ]
     found = rows.withColumn("_why", _first(*cases))
-    first = found.groupBy("doc_id").agg(F.min(F.when(F.col("_why").isNotNull(), F.struct("seq", "_why"))).alias("_e"))
-    nulls = docs.where("source is null").select(F.col("doc_id").alias("_d")).distinct()
-    j = first.join(nulls, first["doc_id"] == nulls["_d"], "left")
-    why = F.when(F.col("_d").isNotNull(), F.lit("lexical error")).otherwise(F.col("_e._why"))
-    return j.select("doc_id", why.isNull().alias("ok"), why.alias("error"))
+    first = found.groupBy("doc_id", "doc_no").agg(F.min(F.when(F.col("_why").isNotNull(), F.struct("seq", "_why", "start"))).alias("_e"))
+    return first.select("doc_id", F.col("_e").isNull().alias("ok"), F.col("_e._why").alias("error"), F.col("_e.start").alias("at"))
 
 
 def require_valid(docs: DataFrame, level: str = "structural") -> DataFrame:
     """The documents, as they are; the job fails at the first that is not well-formed."""
-    why = validate(docs, level).select(F.col("doc_id").alias("_d"), "ok", "error")
+    why = validate(docs, level).groupBy(F.col("doc_id").alias("_d")).agg(F.min("ok").alias("_ok"), F.min("error").alias("_error"), F.min_by("at", "error").alias("_at"))
     j = docs.join(why, docs["doc_id"].eqNullSafe(why["_d"]))
-    message = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("without an id")), F.lit(": "), F.col("error"))
-    return j.where(F.when(F.col("ok"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).select(*docs.columns)
+    message = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("without an id")), F.lit(": "), F.col("_error"), F.lit(" at byte "), F.col("_at").cast("string"))
+    return j.where(F.when(F.col("_ok"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).select(*[docs[c] for c in docs.columns])

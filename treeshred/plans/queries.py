@@ -12,9 +12,10 @@ from ..operators import dtd, nav
 from ..operators.build import Markup, declaration, document, element
 from ..operators.lex import lexemes, tokens
 from ..operators.mutate import push, push_first, remove, replace, set_attr
-from ..operators.serialize import serialize
+from ..operators.serialize import serialize, serialize_subtrees
 from ..operators.shred import nodes
 from ..operators.validate import validate
+from ..sources.documents import numbered
 from .xpath import context, xpath
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,14 +60,23 @@ def region_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _order_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Persisted, as a node table in use would be: most queries join it with itself."""
-    return nodes(order_docs(spark, sf)).persist()
+    return nodes(order_docs(spark, sf))
+
+
+def _kept_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Cached, as a node table in use would be, for queries that join it with itself."""
+    return _order_nodes(spark, sf).persist()
 
 
 # The items of each order as SQL sees them, numbered as the documents have them.
 _ITEMS = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS many FROM lineitem)"
 
 
+_ITEM = """'<item n="' || l_linenumber || '" flag="' || l_returnflag || '"><part>' || l_partkey || '</part><qty>' || CAST(l_quantity AS BIGINT) || '</qty></item>'"""
+_HEAD = """'<order id="' || o_orderkey || '" status="' || o_orderstatus || '"><cust>' || o_custkey || '</cust>'"""
+_DOCS = f"(SELECT o_orderkey, o_orderstatus, {_HEAD} || coalesce(string_agg({_ITEM}, '' ORDER BY pos), '') || '</order>' AS source FROM orders LEFT JOIN {_ITEMS} ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus, o_custkey)"
+
+
 @_query("xpath_flagship", "SELECT l_orderkey AS doc_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey")
 def _flagship(spark, sf):
     found = xpath(_order_nodes(spark, sf), "//item[@flag='R']/qty/text()")
@@ -91,13 +101,13 @@ def _pages(spark, sf):
 
 @_query("children", f"SELECT o_orderkey AS doc_id, 1 + coalesce(c, 0) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def _children(spark, sf):
-    t = _order_nodes(spark, sf)
+    t = _kept_nodes(spark, sf)
     return nav.children(t.where("tag = 'order'"), t).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("child_at", f"SELECT l_orderkey AS doc_id, 'item' AS tag, CAST(l_linenumber AS VARCHAR) AS n FROM {_ITEMS} WHERE pos = 1")
 def _child_at(spark, sf):
-    t = _order_nodes(spark, sf)
+    t = _kept_nodes(spark, sf)
     return nav.child_at(t.where("tag = 'order'"), t, 2).select("doc_id", "tag", nav.get("n").alias("n"))
 
 
@@ -118,14 +128,72 @@ def _has(spark, sf):
 
 @_query("parent", "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS VARCHAR) AS n, count(*) AS times FROM lineitem GROUP BY 1, 2")
 def _parent(spark, sf):
-    t = _order_nodes(spark, sf)
+    t = _kept_nodes(spark, sf)
     return nav.parent(t.where("tag = 'qty'"), t).select("doc_id", nav.get("n").alias("n")).groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("times"))
 
 
-@_query("siblings", "SELECT l_orderkey AS doc_id, CAST(count(*) AS BIGINT) * count(*) AS n FROM lineitem GROUP BY 1")
+@_query("siblings", "SELECT o_orderkey AS doc_id, count(l_orderkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def _siblings(spark, sf):
-    t = _order_nodes(spark, sf)
-    return nav.siblings(t.where("tag = 'item'"), t).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    t = _kept_nodes(spark, sf)
+    return nav.siblings(t.where("tag = 'cust'"), t).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("sibling_counts", "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS VARCHAR) AS n, CAST(many AS BIGINT) AS siblings, count(*) AS times FROM " + _ITEMS + " GROUP BY ALL")
+def _sibling_counts(spark, sf):
+    t = _kept_nodes(spark, sf)
+    named = t.where("tag = 'item'").select("doc_id", "node_id", nav.get("n").alias("n"))
+    return nav.sibling_counts(t.where("tag = 'item'"), t).join(named, ["doc_id", "node_id"]).groupBy("doc_id", "n", "siblings").agg(F.count(F.lit(1)).alias("times"))
+
+
+@_query("events", "WITH c AS (SELECT o_orderkey AS doc_id, count(l_orderkey) AS i FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT doc_id, 3 + 5 * i AS nodes, 3 + 3 * i AS ends, 6 + 8 * i AS last FROM c")
+def _events(spark, sf):
+    found = nav.events(_order_nodes(spark, sf))
+    return found.groupBy("doc_id").agg(F.count(F.when(F.col("event") == "node", 1)).alias("nodes"), F.count(F.when(F.col("event") == "end", 1)).alias("ends"), F.max("seq").cast("long").alias("last"))
+
+
+@_query("depth_below", "SELECT tag, depth, n FROM (SELECT 'order' AS tag, 0 AS depth, count(*) AS n FROM orders UNION ALL SELECT 'cust', 1, count(*) FROM orders UNION ALL SELECT 'item', 1, count(*) FROM lineitem UNION ALL SELECT unnest(['part', 'qty']), 2, count(*) FROM lineitem)")
+def _depth_below(spark, sf):
+    t = _kept_nodes(spark, sf)
+    named = t.select("doc_id", "node_id", "tag")
+    found = nav.depth_below(t.where("kind = 'Element'"), t.where("tag = 'order'"))
+    return found.join(named, ["doc_id", "node_id"]).groupBy("tag", "depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("shred_repeated_ids", f"SELECT CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey END AS doc_id, count(*) AS docs, CAST(sum(4 + 5 * i) AS BIGINT) AS nodes, CAST(max(4 + 5 * i) AS INT) AS largest FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS i FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1".replace("4 + 5 * i", "4 + 5 * coalesce(i, 0)"))
+def _repeated(spark, sf):
+    """Documents that share an id, or have none: each is a tree of its own."""
+    docs, orders = order_docs(spark, sf), _table(spark, sf, "orders")
+    key = F.when(F.col("o_orderstatus") != "P", F.col("o_custkey"))
+    shared = docs.join(orders, docs["doc_id"] == orders["o_orderkey"]).select(key.alias("doc_id"), "source")
+    whole = nodes(shared).where("kind = 'Document'")
+    return whole.groupBy("doc_id").agg(F.count(F.lit(1)).alias("docs"), F.sum("last_desc").alias("nodes"), F.max("last_desc").alias("largest"))
+
+
+@_query("validate_repeated_ids", "SELECT o_custkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'unclosed element' ELSE 'ok' END AS error, count(*) AS n FROM orders GROUP BY ALL")
+def _validate_repeated(spark, sf):
+    docs, orders = order_docs(spark, sf), _table(spark, sf, "orders")
+    source = F.when(F.col("o_orderstatus") == "F", F.regexp_replace("source", "</order>$", "")).otherwise(F.col("source"))
+    shared = docs.join(orders, docs["doc_id"] == orders["o_orderkey"]).select(F.col("o_custkey").alias("doc_id"), source.alias("source"))
+    return validate(shared).groupBy("doc_id", F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("numbered_ids", f"SELECT count(*) AS docs, count(*) AS ids, (SELECT CAST(sum(l_quantity) AS BIGINT) FROM lineitem) AS qty FROM orders")
+def _numbered(spark, sf):
+    docs = order_docs(spark, sf).select(F.lit(7).cast("long").alias("doc_id"), "source")
+    t = nodes(numbered(docs)).persist()
+    qty = nav.children(t.where("tag = 'qty'"), t).agg(F.sum(F.col("value").cast("long")).alias("qty"))
+    return t.where("kind = 'Document'").agg(F.count(F.lit(1)).alias("docs"), F.countDistinct("doc_id").alias("ids")).join(qty)
+
+
+@_query("tokens_from", "WITH n AS (SELECT count(*) AS o FROM orders), i AS (SELECT count(*) AS c FROM lineitem) SELECT 'OPEN_TAG' AS kind, o + 3 * c AS n FROM n, i UNION ALL SELECT 'CLOSE_TAG', 2 * o + 3 * c FROM n, i UNION ALL SELECT 'TAG_CLOSE', 3 * o + 6 * c FROM n, i UNION ALL SELECT 'TEXT', o + 2 * c FROM n, i UNION ALL SELECT 'ATTR_NAME', 2 * c FROM n, i UNION ALL SELECT 'ATTR_VALUE', 2 * c FROM n, i")
+def _tokens_from(spark, sf):
+    return tokens(order_docs(spark, sf), F.instr("source", "<cust>") - 1).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("serialize_subtrees", f"""SELECT '<item n="' || l_linenumber || '" flag="' || l_returnflag || '">' || chr(10) || '  <part>' || l_partkey || '</part>' || chr(10) || '  <qty>' || CAST(l_quantity AS BIGINT) || '</qty>' || chr(10) || '</item>' AS xml, count(*) AS n FROM lineitem GROUP BY 1""")
+def _subtrees(spark, sf):
+    t = _kept_nodes(spark, sf)
+    return serialize_subtrees(t.where("tag = 'item'"), t).groupBy("xml").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("depth_histogram", "WITH n AS (SELECT count(*) AS o FROM orders), i AS (SELECT count(*) AS c FROM lineitem) SELECT 1 AS depth, o AS n FROM n UNION ALL SELECT 2, o FROM n UNION ALL SELECT 3, o + c FROM n, i UNION ALL SELECT 4, o + 2 * c FROM n, i UNION ALL SELECT 5, 2 * c FROM i")
@@ -154,7 +222,7 @@ def _leaves(spark, sf):
 
 @_query("is_simple_value", "SELECT 'qty' AS tag, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS simple_value, count(*) AS n FROM lineitem GROUP BY 2")
 def _simple(spark, sf):
-    return nav.simple_values(_order_nodes(spark, sf)).where("is_simple and tag = 'qty'").groupBy("tag", "simple_value").agg(F.count(F.lit(1)).alias("n"))
+    return nav.simple_values(_kept_nodes(spark, sf)).where("is_simple and tag = 'qty'").groupBy("tag", "simple_value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _path(name: str, expression: str, sql: str, columns: Callable[[DataFrame], DataFrame], docs=order_docs):
@@ -182,7 +250,7 @@ _path("xpath_self_nested", "//nation/./customer[@seg='BUILDING']", "SELECT CAST(
 
 @_query("xpath_from_context", f"SELECT l_orderkey AS doc_id, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM lineitem GROUP BY 1")
 def _from_context(spark, sf):
-    t = _order_nodes(spark, sf)
+    t = _kept_nodes(spark, sf)
     found = xpath(t, ".//part[1]/text()", context(t.where("tag = 'item'")))
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("long")).alias("parts"))
 
@@ -223,9 +291,12 @@ def _wf(spark, sf):
     return validate(order_docs(spark, sf)).groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("wf_strict", "SELECT 'ok' AS error, count(*) AS n FROM orders")
+@_query("wf_strict", "SELECT CASE o_orderstatus WHEN 'F' THEN '''--'' in a comment' WHEN 'P' THEN 'reference to a character not allowed in XML' ELSE 'ok' END AS error, count(*) AS n FROM orders GROUP BY 1")
 def _strict(spark, sf):
-    return validate(order_docs(spark, sf, prolog=True), "strict").groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+    status = F.regexp_extract("source", 'status="([^"]*)"', 1)
+    odd = F.when(status == "F", "<!-- a -- b -->").when(status == "P", "&#0;").otherwise("")
+    docs = order_docs(spark, sf, prolog=True).withColumn("source", F.replace("source", F.lit("<cust>"), F.concat(odd, F.lit("<cust>"))))
+    return validate(docs, "strict").groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("wf_reject_pages", "SELECT page_id AS doc_id, false AS ok FROM pages")
@@ -234,32 +305,31 @@ def _reject(spark, sf):
     return validate(docs, "lenient").select("doc_id", "ok")
 
 
-_ITEM_LEN = "50 + length(CAST(l_linenumber AS VARCHAR)) + length(l_returnflag) + length(CAST(l_partkey AS VARCHAR)) + length(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR))"
-
-
-@_query("sourcetext_len", f"SELECT l_orderkey AS doc_id, CAST(sum({_ITEM_LEN}) AS BIGINT) AS len FROM lineitem GROUP BY 1")
+@_query("source_text", f"SELECT l_orderkey AS doc_id, md5(string_agg({_ITEM}, '' ORDER BY pos)) AS text FROM {_ITEMS} GROUP BY 1")
 def _source(spark, sf):
-    docs = order_docs(spark, sf)
+    docs = order_docs(spark, sf).persist()
     text = nav.source_text(nodes(docs).where("tag = 'item'"), docs)
-    return text.groupBy("doc_id").agg(F.sum(F.length("source_text")).alias("len"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node_id", "source_text"))), lambda x: x["source_text"]), "")
+    return text.groupBy("doc_id").agg(F.md5(whole.cast("binary")).alias("text"))
 
 
-@_query("splice", f"SELECT l_orderkey AS doc_id, CAST(44 + length(CAST(l_orderkey AS VARCHAR)) + length(o_orderstatus) + length(CAST(o_custkey AS VARCHAR)) + sum({_ITEM_LEN}) AS BIGINT) - CAST(max(CASE WHEN pos = 1 THEN {_ITEM_LEN} END) AS BIGINT) + 4 AS len FROM {_ITEMS} JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, o_orderstatus, o_custkey")
+@_query("splice", f"SELECT o_orderkey AS doc_id, md5({_HEAD} || '<x/>' || coalesce(string_agg(CASE WHEN pos > 1 THEN {_ITEM} END, '' ORDER BY pos), '') || '</order>') AS text FROM {_ITEMS} JOIN orders ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderstatus, o_custkey")
 def _splice(spark, sf):
-    docs = order_docs(spark, sf)
+    docs = order_docs(spark, sf).persist()
     first = nodes(docs).where("tag = 'item' and child_pos = 2")
-    return nav.splice(first, docs, "<x/>").select("doc_id", F.length("spliced").cast("long").alias("len"))
+    return nav.splice(first, docs, "<x/>").select("doc_id", F.md5(F.col("spliced").cast("binary")).alias("text"))
 
 
-@_query("structural_digest_dedup", "SELECT count(DISTINCT (l_linenumber, l_returnflag, l_partkey, l_quantity)) AS n FROM lineitem")
+@_query("structural_digest_dedup", "SELECT times, count(*) AS groups FROM (SELECT count(*) AS times FROM lineitem GROUP BY l_linenumber, l_returnflag, l_partkey, l_quantity) GROUP BY times")
 def _digest(spark, sf):
-    t = _order_nodes(spark, sf)
-    return nav.digests(t.where("tag = 'item'"), t).agg(F.countDistinct("digest").alias("n"))
+    t = _kept_nodes(spark, sf)
+    found = nav.digests(t.where("tag = 'item'"), t).groupBy("digest").agg(F.count(F.lit(1)).alias("times"))
+    return found.groupBy("times").agg(F.count(F.lit(1)).alias("groups"))
 
 
 @_query("serialize_roundtrip", "SELECT o_orderkey AS doc_id, true AS same FROM orders")
 def _roundtrip(spark, sf):
-    once = serialize(_order_nodes(spark, sf)).withColumnRenamed("xml", "source").persist()
+    once = serialize(_kept_nodes(spark, sf)).withColumnRenamed("xml", "source").persist()
     twice = serialize(nodes(once).persist())
     return once.join(twice, "doc_id").select("doc_id", (F.col("source") == F.col("xml")).alias("same"))
 
@@ -270,21 +340,34 @@ def _layout(spark, sf):
     return serialize(nodes(region_docs(spark, sf)))
 
 
-@_query("set_attribute", "SELECT 'x' AS flag, count(*) AS n FROM lineitem")
+@_query("set_attribute", "SELECT 'x' AS flag, 'q' || l_linenumber AS extra, 'n,flag,extra' AS keys, count(*) AS n FROM lineitem GROUP BY 2")
 def _set(spark, sf):
-    t = set_attr(_order_nodes(spark, sf), F.col("tag") == "item", "flag", F.lit("x"))
-    return t.where("tag = 'item'").groupBy(nav.get("flag").alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+    item = F.col("tag") == "item"
+    t = set_attr(set_attr(_order_nodes(spark, sf), item, "flag", F.lit("x")), item, "extra", F.concat(F.lit("q"), nav.get("n")))
+    return t.where("tag = 'item'").groupBy(nav.get("flag").alias("flag"), nav.get("extra").alias("extra"), F.array_join(nav.keys(), ",").alias("keys")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("push_subtree", f"SELECT o_orderkey AS doc_id, replace(source, '</order>', '<end k=\"v\"><z/>t</end></order>') AS xml FROM {_DOCS}")
+def _push_subtree(spark, sf):
+    t = push(_kept_nodes(spark, sf), F.col("tag") == "order", xml='<end k="v"><z/>t</end>').persist()
+    return serialize(t, 0).select("doc_id", F.regexp_replace("xml", "\n", "").alias("xml"))
+
+
+@_query("replace_with_attributes", f"SELECT o_orderkey AS doc_id, replace(source, '<cust>' || o_custkey || '</cust>', '<who kind=\"cust\" nr=\"3\"/>') AS xml FROM {_DOCS} JOIN orders USING (o_orderkey)")
+def _replace_attrs(spark, sf):
+    changed = replace(_kept_nodes(spark, sf), F.col("tag") == "cust", "Element", "who", attrs={"kind": F.col("tag"), "nr": F.col("node_id")}).persist()
+    return serialize(changed, 0).select("doc_id", F.regexp_replace("xml", "\n", "").alias("xml"))
 
 
 @_query("push_child", "SELECT o_orderkey AS doc_id, CAST(5 + 5 * count(l_orderkey) AS INT) AS at FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def _push(spark, sf):
-    t = push(_order_nodes(spark, sf), F.col("tag") == "order", "Element", "end")
+    t = push(_kept_nodes(spark, sf), F.col("tag") == "order", "Element", "end")
     return t.where("tag = 'end'").select("doc_id", F.col("node_id").alias("at"))
 
 
 @_query("remove_nodes", "SELECT o_orderkey AS doc_id, 4 AS last_desc FROM orders")
 def _remove(spark, sf):
-    return remove(_order_nodes(spark, sf), F.col("tag") == "item").where("kind = 'Document'").select("doc_id", "last_desc")
+    return remove(_kept_nodes(spark, sf), F.col("tag") == "item").where("kind = 'Document'").select("doc_id", "last_desc")
 
 
 @_query("dtd_decls", "SELECT n_name AS name, 'value of ' || n_name AS value, CAST(n_regionkey AS BIGINT) AS doc_id FROM nation")
@@ -298,32 +381,32 @@ def _dtd(spark, sf):
 
 @_query("elements", "SELECT o_orderkey AS doc_id, 1 + count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def _elements(spark, sf):
-    t = _order_nodes(spark, sf)
+    t = _kept_nodes(spark, sf)
     return nav.elements(t.where("tag = 'order'"), t).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("child_counts", "SELECT o_orderkey AS doc_id, 1 + count(l_orderkey) AS length FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def _child_counts(spark, sf):
-    t = _order_nodes(spark, sf)
+    t = _kept_nodes(spark, sf)
     return nav.child_counts(t.where("tag = 'order'"), t).select("doc_id", "length")
 
 
 @_query("last_child", f"SELECT o_orderkey AS doc_id, CAST(l_linenumber AS VARCHAR) AS n FROM orders LEFT JOIN {_ITEMS} ON l_orderkey = o_orderkey WHERE pos = many OR pos IS NULL")
 def _last_child(spark, sf):
-    t = _order_nodes(spark, sf)
+    t = _kept_nodes(spark, sf)
     return nav.last_child(t.where("tag = 'order'"), t).select("doc_id", nav.get("n").alias("n"))
 
 
 @_query("only_child", "SELECT o_orderkey AS doc_id, CAST(o_custkey AS VARCHAR) AS value FROM orders")
 def _only_child(spark, sf):
-    t = _order_nodes(spark, sf)
+    t = _kept_nodes(spark, sf)
     return nav.only_child(t.where("tag = 'cust'"), t).select("doc_id", "value")
 
 
-@_query("skip_element", "SELECT l_orderkey AS doc_id, 5 * count(*) AS n FROM lineitem GROUP BY 1")
+@_query("skip_element", f"SELECT l_orderkey AS doc_id, 'item' AS tag, CAST(l_linenumber AS VARCHAR) AS n FROM {_ITEMS} WHERE pos = 1")
 def _skip(spark, sf):
-    t = _order_nodes(spark, sf)
-    return nav.skip(t.where("tag = 'cust'"), t).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    t = _kept_nodes(spark, sf)
+    return nav.resume(t.where("tag = 'cust'"), t).select("doc_id", "tag", nav.get("n").alias("n"))
 
 
 @_query("attribute_keys", "WITH o AS (SELECT count(*) AS n FROM orders), i AS (SELECT count(*) AS n FROM lineitem) SELECT 'id,status' AS keys, n FROM o UNION ALL SELECT 'n,flag', n FROM i UNION ALL SELECT '', o.n + 2 * i.n FROM o, i")
@@ -350,22 +433,22 @@ def _span(spark, sf):
     return spans.select("doc_id", (F.col("char_end") - F.col("char_start")).cast("long").alias("chars"), (F.col("span_end") - F.col("span_start")).cast("long").alias("bytes"))
 
 
-@_query("wf_errors", "SELECT CASE o_orderstatus WHEN 'F' THEN 'unclosed element' WHEN 'P' THEN 'more than one root element' ELSE 'ok' END AS error, count(*) AS n FROM orders GROUP BY 1")
+@_query("wf_errors", f"SELECT CASE o_orderstatus WHEN 'F' THEN 'unclosed element' WHEN 'P' THEN 'more than one root element' ELSE 'ok' END AS error, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN CAST(length(source) AS BIGINT) END AS at, count(*) AS n FROM {_DOCS} GROUP BY ALL")
 def _wf_errors(spark, sf):
     docs, status = order_docs(spark, sf), F.regexp_extract("source", 'status="([^"]*)"', 1)
     broken = F.when(status == "F", F.regexp_replace("source", "</order>$", "")).when(status == "P", F.concat("source", F.lit("<x/>"))).otherwise(F.col("source"))
-    return validate(docs.select("doc_id", broken.alias("source"))).groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+    return validate(docs.select("doc_id", broken.alias("source"))).groupBy(F.coalesce("error", F.lit("ok")).alias("error"), F.col("at").cast("long").alias("at")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("push_first_child", "SELECT o_orderkey AS doc_id, 3 AS at, CAST(5 + 5 * count(l_orderkey) AS INT) AS last_desc FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def _push_first(spark, sf):
-    t = push_first(_order_nodes(spark, sf), F.col("tag") == "order", "Element", "begin")
+    t = push_first(_kept_nodes(spark, sf), F.col("tag") == "order", "Element", "begin")
     return t.groupBy("doc_id").agg(F.max(F.when(F.col("tag") == "begin", F.col("node_id"))).alias("at"), F.max("last_desc").alias("last_desc"))
 
 
 @_query("replace_nodes", "SELECT o_orderkey AS doc_id, count(l_orderkey) AS n, CAST(4 + count(l_orderkey) AS INT) AS last_desc FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def _replace(spark, sf):
-    t = replace(_order_nodes(spark, sf), F.col("tag") == "item", "Comment", value=F.lit("gone"))
+    t = replace(_kept_nodes(spark, sf), F.col("tag") == "item", "Comment", value=F.lit("gone"))
     return t.groupBy("doc_id").agg(F.count(F.when(F.col("kind") == "Comment", 1)).alias("n"), F.max("last_desc").alias("last_desc"))
 
 
@@ -388,6 +471,12 @@ def _dtd_attributes(spark, sf):
     return found.select("doc_id", "e.element", "e.name", "e.type", F.col("e.default").alias("standard"))
 
 
+@_query("dtd_reads_on", "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 'e' || n_nationkey AS name, '(#PCDATA)' AS content FROM nation")
+def _dtd_reads_on(spark, sf):
+    """Text that is no declaration is stepped over."""
+    return _declared(spark, sf, F.concat(F.lit("<!ELEMENT e"), F.col("n_nationkey").cast("string"), F.lit(" (#PCDATA)> stray <!OTHER x>")), "elements").select("doc_id", "e.name", "e.content")
+
+
 @_query("dtd_notations", "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 'n' || n_nationkey AS name, 'SYSTEM \"' || n_name || '\"' AS external_id FROM nation")
 def _dtd_notations(spark, sf):
     found = _declared(spark, sf, F.concat(F.lit("<!NOTATION n"), F.col("n_nationkey").cast("string"), F.lit(' SYSTEM "'), F.col("n_name"), F.lit('">')), "notations")

@@ -1,5 +1,9 @@
 """XPath expressions compiled to one lazy DataFrame plan over the node relation.
 
+A path of child steps from the documents, with or without ``//`` before its first name, reads the node relation once: a
+node's parent is found by windows, and documents aren't shuffled again. What follows ``..`` or a further ``//`` joins the
+relation again for each step: write it to a table, or cache it, for such paths.
+
 The context is an ordered bag (doc_id, ctx_id, node, ord): positions count over the whole context of a call, nothing is
 made distinct, and ``ord`` grows by what each step sorts by. Descendants are one range join on the interval of a
 subtree; from the document itself they are a filter without any join.
@@ -108,6 +112,9 @@ def xpath(nodes: DataFrame, expression: str, start: DataFrame | None = None) ->
         return now.limit(0)
     tree = nodes.select("doc_id", *NODE)
     k = 0
+    if start is None:
+        now, k = _single_pass(tree, steps, now)
+        at_root = k == 0
     while k < len(steps):
         step, after = steps[k], steps[k + 1] if k + 1 < len(steps) else None
         if step.kind == "descend" and after is not None and after.kind in ("name", "any", "text", "node"):
@@ -134,6 +141,80 @@ def xpath(nodes: DataFrame, expression: str, start: DataFrame | None = None) ->
     return now
 
 
+_TESTS = ("name", "any", "text", "node")
+
+
+def _holds(step: Step) -> Column:
+    own = (lambda a: a["name"] == step.name) if step.kind == "has" else (lambda a: (a["name"] == step.name) & (a["value"] == step.value))
+    return (F.col("kind") == "Element") & F.exists("attrs", own)
+
+
+def _single_pass(tree: DataFrame, steps: list[Step], now: DataFrame) -> tuple[DataFrame, int]:
+    """The result of as many first steps as one reading of the tree can give, and their number (0: none can)."""
+    begin = 0
+    while begin < len(steps) and steps[begin].kind == "self":
+        begin += 1
+    anywhere = begin + 1 < len(steps) and steps[begin].kind == "descend"
+    first = begin + anywhere
+    if first >= len(steps) or steps[first].kind not in _TESTS:
+        return now, 0
+    end = first + 1
+    while end < len(steps) and steps[end].kind in (*_TESTS, "self", "has", "equals", "nth", "last"):
+        end += 1
+    chosen = (_from_anywhere if anywhere else _from_the_top)(tree, steps[first:end])
+    return chosen.select("doc_id", F.lit(1).alias("ctx_id"), *NODE, F.col("_o").alias("ord")), end
+
+
+def _from_the_top(tree: DataFrame, steps: list[Step]) -> DataFrame:
+    """A chain of child steps from the documents: a node's depth tells its step, and its parent is the last node chosen
+    one level up. All windows share one order."""
+    tests = [s for s in steps if s.kind in _TESTS]
+    at = lambda k: (F.col("depth") == k + 2) & _test(tests[k], F.col("kind"), F.col("tag"))
+    some = at(0)
+    for k in range(1, len(tests)):
+        some = some | at(k)
+    running = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows, k = tree.where(some).withColumn("_m", at(0) & (F.col("parent_id") == 1)), 0
+    for step in steps[1:]:
+        if step.kind in _TESTS:
+            k += 1
+            rows = rows.withColumn("_p", F.last(F.when(F.col("_m"), F.col("node_id")), ignorenulls=True).over(running)).withColumn("_m", F.coalesce(at(k) & (F.col("parent_id") == F.col("_p")), F.lit(False)))
+        elif step.kind in ("has", "equals"):
+            rows = rows.withColumn("_m", F.col("_m") & _holds(step))
+        elif step.kind == "nth":
+            rows = rows.withColumn("_c", F.count(F.when(F.col("_m"), 1)).over(running)).withColumn("_m", F.col("_m") & (F.col("_c") == int(step.value)))
+        elif step.kind == "last":
+            rows = rows.withColumn("_c", F.max(F.when(F.col("_m"), F.col("node_id"))).over(Window.partitionBy("doc_id"))).withColumn("_m", F.col("_m") & (F.col("_c") == F.col("node_id")))
+    return rows.where("_m").withColumn("_o", F.array("node_id"))
+
+
+def _from_anywhere(tree: DataFrame, steps: list[Step]) -> DataFrame:
+    """``//`` and a test, then child steps. Nodes chosen meet their children in a window over the parent's id, in which
+    the parent stands once for itself."""
+    tests = [s for s in steps if s.kind in _TESTS]
+    passes = lambda s: _test(s, F.col("kind"), F.col("tag"))
+    some = passes(tests[0])
+    for s in tests[1:]:
+        some = some | passes(s)
+    rows = tree.where(F.col("kind") != "Document").where(some).withColumn("_o", F.when(passes(tests[0]), F.array("parent_id", "node_id")))
+    chosen = F.col("_o").isNotNull()
+    for step in steps[1:]:
+        if step.kind in _TESTS:
+            none = F.lit(None)
+            node = F.struct(*NODE)
+            child = F.struct(F.col("parent_id").alias("k"), none.cast("array<int>").alias("o"), node.alias("n"))
+            parent = F.when(chosen, F.struct(F.col("node_id").alias("k"), F.col("_o").alias("o"), F.when(F.lit(False), node).alias("n")))
+            met = rows.select("doc_id", F.explode(F.array_compact(F.array(child, parent))).alias("_e")).select("doc_id", "_e.*")
+            met = met.withColumn("_above", F.max("o").over(Window.partitionBy("doc_id", "k"))).where("n is not null").select("doc_id", "n.*", "_above")
+            rows = met.withColumn("_o", F.when(passes(step) & F.col("_above").isNotNull(), F.concat("_above", F.array("node_id")))).drop("_above")
+        elif step.kind in ("has", "equals"):
+            rows = rows.withColumn("_o", F.when(_holds(step), F.col("_o")))
+        elif step.kind in ("nth", "last"):
+            order = Window.partitionBy("doc_id", chosen).orderBy(F.col("_o") if step.kind == "nth" else F.col("_o").desc())
+            rows = rows.withColumn("_c", F.row_number().over(order)).withColumn("_o", F.when(F.col("_c") == (1 if step.kind == "last" else int(step.value)), F.col("_o"))).drop("_c")
+    return rows.where(chosen)
+
+
 def _step(step: Step, now: DataFrame, tree: DataFrame) -> DataFrame:
     if step.kind == "self":
         return now
@@ -150,10 +231,8 @@ def _step(step: Step, now: DataFrame, tree: DataFrame) -> DataFrame:
         found = now.withColumn("_a", _attribute(step.name, F.col("attrs"))).where("_a is not null")
         none = F.lit(None).cast("int")
         return found.select("doc_id", "ctx_id", none.alias("node_id"), none.alias("parent_id"), F.lit("Text").alias("kind"), F.lit(None).cast("string").alias("tag"), F.col("_a.value").alias("value"), F.filter("attrs", lambda a: F.lit(False)).alias("attrs"), none.alias("last_desc"), none.alias("depth"), "ord")
-    if step.kind == "has":
-        return now.where((F.col("kind") == "Element") & F.exists("attrs", lambda a: a["name"] == step.name))
-    if step.kind == "equals":
-        return now.where((F.col("kind") == "Element") & F.exists("attrs", lambda a: (a["name"] == step.name) & (a["value"] == step.value)))
+    if step.kind in ("has", "equals"):
+        return now.where(_holds(step))
     order = Window.partitionBy("doc_id", "ctx_id")
     if step.kind == "last":
         return now.withColumn("_n", F.row_number().over(order.orderBy(F.col("ord").desc()))).where("_n = 1").drop("_n")
