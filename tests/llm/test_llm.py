@@ -162,11 +162,29 @@ def test_nearest(spark):
         for i, score in found.values():
             assert math.isclose(score, s[np.flatnonzero(ids == i)[0]], abs_tol=1e-9)
     assert hits >= 0.9 * 5 * len(got)
+    wide = [(0, [1e200, 1e200]), (1, [1e200, 2e200]), (50, [1e-200, 3e-200]), (3, [5e-324, 0.0])]
+    found = {(f.query_id, f.vec_id): f.score for f in ann.nearest(spark.createDataFrame(wide, "vec_id long, embedding array<double>")).collect()}
+    assert found[0, 1] == pytest.approx(3 / math.sqrt(10)) and found[50, 1] == pytest.approx(7 / math.sqrt(50)) and found[50, 3] == pytest.approx(1 / math.sqrt(10)) and len(found) == 6
     few = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (50, [-1.0, 0.1])], "vec_id long, embedding array<double>")).collect()
     assert sorted((f.query_id, f.rank, f.vec_id) for f in few) == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_equal_vectors_tie():
+    r = np.random.default_rng(0)
+    for n in (3, 30, 500):
+        x = r.normal(size=(n, 24))
+        ids = r.permutation(10 * n)[: 2 * n]
+        both = np.concatenate((x, x))
+        a, b, c = ann.best(x[: min(n, 40)], np.full(min(n, 40), -1), both, ids, 5)
+        assert len(a) == 5 * min(n, 40)
+        for i in range(min(n, 40)):
+            got = list(zip(b[5 * i : 5 * i + 5], c[5 * i : 5 * i + 5], strict=True))
+            assert got == sorted(got, key=lambda y: (-y[1], y[0])) and got[0][1] == got[1][1] and {got[0][0], got[1][0]} == {ids[i], ids[i + n]}
+    same = np.repeat(x[:1], 60, 0)  # more ties than are proposed
+    assert ann.best(x[:1], np.array([-1]), same, np.arange(60)[::-1], 5)[1].tolist() == [0, 1, 2, 3, 4]
+
+
 # 4. Token counts
 
 
@@ -486,9 +504,54 @@ def test_shards(docs, none):
         assert sorted(r.slot for r in rows) == list(range(len(rows)))
     sums = [sum(r.size for r in by[s]) for s in range(6)]
     assert max(sums) - min(sums) <= 2 * max(r.size for r in got)
+    many = 0
+    for n in (6, 3):
+        placed = kdshard.shards(docs, n).collect()
+        share, texts_of = sum(r.size for r in placed) / n, defaultdict(list)
+        for r in placed:
+            texts_of[r.text_crc32, r.size].append(r.shard)
+        many += sum(len(v) > 1 for v in texts_of.values())
+        assert all(len(set(v)) == 1 for (_, size), v in texts_of.items() if size * len(v) <= share)
+    assert many
     assert kdshard.shards(none).count() == 0
 
 
+def test_tree_is_that_of_plain_loops(spark):
+    r = np.random.default_rng(9)
+    n, room = 300, [3.0, 1.0, 2.0, 2.0, 4.0]
+    pts = [(i, int(r.integers(1, 50)), float(r.integers(0, 40)), float(r.normal()), int(r.integers(0, 1 << 30))) for i in range(n)]
+    got = {x.i: x.shard for x in kdshard.tree(spark.createDataFrame(pts, "i int, bytes long, d_a double, d_b double, tie long"), ["d_a", "d_b"], room).collect()}
+    whole = [max(p[d] for p in pts) - min(p[d] for p in pts) for d in (2, 3)]
+    want = {}
+
+    def split(some, first, k):
+        if k == 1:
+            want.update({p[0]: first for p in some})
+            return
+        spread = [(max(p[d] for p in some) - min(p[d] for p in some)) / whole[d - 2] for d in (2, 3)]
+        d = 2 if spread[0] >= spread[1] else 3
+        lo, hi = min(p[d] for p in some), max(p[d] for p in some)
+        key = lambda p: (min((1 << 30) - 1, math.floor((p[d] - lo) / ((hi - lo) or 1.0) * float(1 << 30))), p[4])
+        some = sorted(some, key=key)
+        goal, below, at = sum(p[1] for p in some) * sum(room[first : first + k // 2]) / sum(room[first : first + k]), 0, 0
+        while at < len(some) - 1 and below + some[at][1] <= goal:
+            below, at = below + some[at][1], at + 1
+        if abs(below + some[at][1] - goal) <= abs(below - goal):
+            at += 1
+        split(some[:at], first, k // 2)
+        split(some[at:], first + k // 2, k - k // 2)
+
+    split(pts, 0, len(room))
+    assert got == want
+
+
+def test_heavy_groups_are_whole_where_they_fit():
+    out, room = kdshard._place([(1, 10, 1, 9), (2, 10, 2, 5), (3, 10, 3, 4), (4, 10, 4, 30), (5, 500, 5, 1)], 100.0, 6)
+    pieces = Counter(x[0] for x in out)
+    assert pieces[1] == pieces[2] == pieces[3] == pieces[5] == 1 and pieces[4] >= 3
+    assert all(math.isclose(sum(x[4] - x[3] for x in out if x[0] == h), 1) for h in pieces) and min(room) >= 0
+
+
 # The pipeline
 
 

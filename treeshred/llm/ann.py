@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 TABLES, PROBES, BLOCK = 12, 8, 2048
+SPARE = 8  # candidates beyond k that are ranked exactly; more where more are as near as the k-th
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -44,7 +45,9 @@ def axes(x: np.ndarray, table: int, probes: int = 1, seed: int = 11) -> np.ndarr
 
 
 def _unit(vectors: list[np.ndarray]) -> np.ndarray:
+    """Vectors of length one; scaled by their largest component first, so that no square overflows or vanishes."""
     x = np.array(vectors, np.float64)
+    x = x / np.abs(x).max(1)[:, None]
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -75,13 +78,23 @@ def best(queries: np.ndarray, query_ids: np.ndarray, found: np.ndarray, ids: np.
     ids, x = ids[order], x[order]
     out = []
     for i in range(0, len(q), 256):
-        s = q[i : i + 256] @ x.T
-        s[query_ids[i : i + 256, None] == ids[None, :]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        out.append((np.repeat(query_ids[i : i + 256], top.shape[1]), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()))
-    a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
-    keep = np.isfinite(c)
-    return a[keep], b[keep], c[keep]
+        own, part = query_ids[i : i + 256], q[i : i + 256]
+        s = part @ x.T
+        s[own[:, None] == ids[None, :]] = -np.inf
+        # A matrix product may give equal vectors products that differ in the last bits: it only proposes, some more
+        # than k, and what is proposed is summed again in one order for all.
+        many = min(k + SPARE, len(ids))
+        top = np.argpartition(-s, many - 1, axis=1)[:, :many]
+        least = np.take_along_axis(s, top, 1)
+        kth = -np.partition(-least, min(k, many) - 1, axis=1)[:, min(k, many) - 1]
+        crowded = (many < len(ids)) & (least.min(1) >= kth - 1e-12)
+        for r in range(len(part)):
+            at = np.flatnonzero(s[r] >= kth[r] - 1e-12) if crowded[r] and np.isfinite(kth[r]) else top[r]
+            at = at[np.isfinite(s[r, at])]
+            exact = (part[r] * x[at]).sum(1)
+            best_first = np.lexsort((ids[at], -exact))[:k]
+            out.append((np.full(len(best_first), own[r]), ids[at][best_first], exact[best_first]))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
 
 def _ranked(k: int):
@@ -96,11 +109,16 @@ def _ranked(k: int):
 
 
 def _in_blocks(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, near): the k best of each bucket's blocks; a block has about BLOCK rows, a query meets all of its bucket's."""
-    sizes = written(index.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "sizes")
-    dealt = index.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    asked = queries.join(sizes, "bucket").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    return asked.groupBy("bucket", "block").cogroup(dealt.groupBy("bucket", "block")).applyInArrow(_ranked(k), "query_id long, vec_id long, near double")
+    """(query_id, vec_id, near): the k best of each bucket's blocks. Rows and queries of a bucket are both dealt to blocks of
+    about BLOCK, and each block of queries meets each block of rows, so no task holds more than one of either."""
+    block = lambda many, name: F.ceil(many / BLOCK).cast("int").alias(name)
+    rows = index.groupBy("bucket").agg(block(F.count(F.lit(1)), "blocks"))
+    asks = queries.groupBy("bucket").agg(block(F.count(F.lit(1)), "parts"))
+    sizes = written(rows.join(asks, "bucket"), "sizes")
+    deal = lambda df, own, other: df.join(sizes, "bucket").withColumn(own[0], F.pmod(F.xxhash64("vec_id"), F.col(own[1])).cast("int")).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1))).drop("blocks", "parts")
+    dealt = deal(index, ("block", "blocks"), ("part", "parts"))
+    asked = deal(queries, ("part", "parts"), ("block", "blocks"))
+    return asked.groupBy("bucket", "block", "part").cogroup(dealt.groupBy("bucket", "block", "part")).applyInArrow(_ranked(k), "query_id long, vec_id long, near double")
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:

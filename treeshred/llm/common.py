@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -138,9 +139,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where none is set, as in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a session on one machine has
+    a local folder, as in tests; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), 'treeshred-checkpoints')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
@@ -151,10 +155,22 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Drops the tables that operators have written to the shared folder, when no result that reads them is needed any
+    more; ``keep`` are beginnings of names that stay."""
+    for path in [p for p in _WRITTEN if not p.rsplit("/", 1)[-1].startswith(keep)] if keep else list(_WRITTEN):
+        drop_folder(spark, path)
+        _WRITTEN.remove(path)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The frame as a table in the shared folder, read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_folder(spark, what)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
