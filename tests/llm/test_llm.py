@@ -477,16 +477,21 @@ def test_long_texts_in_pieces(monkeypatch):
     assert known.leaks(words) == whole
 
 
-def test_blocks_guarantee_the_radius():
+def test_blocks_guarantee_the_radius_and_prune():
     r = np.random.default_rng(5)
-    item = int(r.integers(0, 1 << 63))
-    k = decontam.Items([(1, " ".join(f"w{i}" for i in range(20)).encode())])
-    near = k.near[next(iter(k.near))]
+    prints = r.integers(0, 1 << 16, (40, decontam.BLOCKS)).astype(np.uint16)
+    index = decontam.Index(prints)
     for _ in range(500):
-        flips = r.choice(64, r.integers(0, decontam.RADIUS + 1), replace=False)
-        x = k.items[0][4] ^ sum(1 << int(f) for f in flips)
-        assert any(near[b][(x >> (16 * b)) & 0xFFFF] for b in range(4))
-    del item
+        i = int(r.integers(0, 40))
+        bits = np.unpackbits(prints[i : i + 1].view(np.uint8), bitorder="little")
+        bits[r.choice(len(bits), r.integers(0, decontam.RADIUS + 1), replace=False)] ^= 1
+        w, found = index.near(np.packbits(bits, bitorder="little").view(np.uint16)[None])
+        assert i in found.tolist() and not w.any()
+    random_windows = r.integers(0, 1 << 16, (5000, decontam.BLOCKS)).astype(np.uint16)
+    w, i = index.named(random_windows)
+    assert 0.15 < len(w) / (5000 * 40) < 0.25  # of all pairs, so many are compared
+    far = np.bitwise_count(random_windows[:, None, :] ^ prints[None]).sum(2)
+    assert {(a, b) for a, b in zip(*index.near(random_windows), strict=True)} == set(zip(*np.nonzero(far <= decontam.RADIUS), strict=True))
 
 
 # 10. Sharding

@@ -158,12 +158,17 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
 _WRITTEN: list[str] = []
 
 
-def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Drops the tables that operators have written to the shared folder, when no result that reads them is needed any
-    more; ``keep`` are beginnings of names that stay."""
-    for path in [p for p in _WRITTEN if not p.rsplit("/", 1)[-1].startswith(keep)] if keep else list(_WRITTEN):
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> int:
+    """Drops the tables that operators have written to the shared folder after the first ``since`` of them, but for those
+    whose names begin with ``keep``: call it when no result that reads them is needed any more. Returns how many are left."""
+    for path in [p for p in _WRITTEN[since:] if keep is None or not p.rsplit("/", 1)[-1].startswith(keep)]:
         drop_folder(spark, path)
         _WRITTEN.remove(path)
+    return len(_WRITTEN)
+
+
+def tables_written() -> int:
+    return len(_WRITTEN)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Benchmark passages in documents: SimHash of item-sized windows, multi-index Hamming blocks, weighted verification.
 
-An item's fingerprint has a bit for each of 64 hash bits: the majority over its shingles, each as often as it stands.
-Every window of a document that is as long as an item is fingerprinted the same way, from running sums. (Windows are
-cut in lengths on a grid of steps of at most 6 percent, one of which is within 3 percent of any item's.) Two
-fingerprints within RADIUS agree in one of four blocks of 16 bits up to RADIUS // 4 bits, so a table of the blocks near
-an item's finds every window within the radius; whole distances follow, then the weighted similarity of the
-multisets of shingles, over item-sized windows around the place.
-
-At similarity 0.75 a bit differs with probability 0.17, so a window differs from its item in 11 of 64 bits, with
-deviation 3; RADIUS is 3.7 deviations above.
+An item's fingerprint has 96 bits, each the majority of a hash bit over its shingles, each as often as it stands. Every
+window of a document that is as long as an item is fingerprinted the same way, from running sums. (Windows are cut in
+lengths on a grid of steps of at most 6 percent, one of which is within 3 percent of any item's. Stretches of a document
+that hold no shingle of any item have no window that is similar to one, and are passed over.) Two fingerprints within
+RADIUS agree in one of six blocks of 16 bits up to RADIUS // 6 bits: for each block the index lists the items under all
+values so near to theirs, and the lists under a window's values name every item within the radius, and few others. Whole
+distances follow, then the weighted similarity of the multisets of shingles, over item-sized windows around the place.
+
+At similarity 0.75 a bit differs with probability 0.17, so a window differs from its item in 16.5 of 96 bits, with
+deviation 3.7; RADIUS is 3.4 deviations above. A block's lists hold 3.8 percent of random values an item, so a random
+window is compared with a fifth of the items of its length.
 """
 
 from __future__ import annotations
@@ -21,29 +23,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, shingle_hashes, slices, texts
+from .common import Words, mix, shingle_hashes, slices, texts
 
-SIZE, RADIUS, BLOCKS = 5, 22, 4
-MOST_ITEM_BYTES = 64 << 20
-PIECE = 1 << 17  # shingles fingerprinted at once: 34 MB of running sums
+SIZE, RADIUS, BLOCKS = 5, 29, 6
+MOST_ITEM_BYTES, MOST_ITEMS = 64 << 20, 4096  # of one index: 60 KB an item
+PIECE = 1 << 17  # shingles fingerprinted at once: 50 MB of running sums
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+_BALL = np.flatnonzero(_POP <= RADIUS // BLOCKS).astype(np.uint16)
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    both = np.concatenate((hashes.view(np.uint8).reshape(-1, 8), mix(hashes ^ np.uint64(0x9E3779B97F4A7C15)).view(np.uint8).reshape(-1, 8)), axis=1)
+    return np.unpackbits(both[:, : 2 * BLOCKS], axis=1, bitorder="little")
 
 
 def fingerprints(sums: np.ndarray, length: int) -> np.ndarray:
-    """Of each window of ``length`` shingles, from running sums of their bits (a row more than shingles)."""
-    return np.packbits((sums[length:] - sums[:-length]) * 2 > length, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    """Of each window of ``length`` shingles, from running sums of their bits (a row more than shingles): a row of blocks."""
+    return np.packbits(sums[length:] - sums[:-length] > length // 2, axis=1, bitorder="little").view(np.uint16)
 
 
 def running(hashes: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(hashes) + 1, 64), np.int16 if len(hashes) < 1 << 15 else np.int32)
+    out = np.zeros((len(hashes) + 1, 16 * BLOCKS), np.int16 if len(hashes) < 1 << 15 else np.int32)
     np.cumsum(_bits(hashes), axis=0, out=out[1:])
     return out
 
 
+class Index:
+    """Items of one step by the blocks of their fingerprints: for each block the values near any item's, sorted, and the
+    item of each."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints, self.lists = prints, []
+        for b in range(BLOCKS):
+            values = (prints[:, b, None] ^ _BALL).ravel()
+            order = np.argsort(values, kind="stable")
+            self.lists.append((values[order], (order // len(_BALL)).astype(np.uint16)))
+
+    def named(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of the pairs that share a list, once each."""
+        found = []
+        for b, (values, items) in enumerate(self.lists):
+            lo, hi = np.searchsorted(values, prints[:, b], "left"), np.searchsorted(values, prints[:, b], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            found.append(np.repeat(np.arange(len(prints)), n) * len(self.prints) + items[at])
+        return np.divmod(np.unique(np.concatenate(found)), len(self.prints))
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all pairs within the radius."""
+        w, i = self.named(prints)
+        close = _POP[prints[w] ^ self.prints[i]].sum(1) <= RADIUS
+        return w[close], i[close]
+
+
 def grid(lengths: list[int]) -> dict[int, int]:
     """Each length's step: short lengths are steps themselves, the others within 3 percent of one."""
     out, step = {}, 0
@@ -55,79 +87,44 @@ def grid(lengths: list[int]) -> dict[int, int]:
 
 
 class Items:
-    """The benchmark's fingerprints, by step of length, and for each the tables of its blocks."""
+    """The benchmark's items, with an index of fingerprints for each step of length."""
 
-    def __init__(self, items: list[tuple[int, bytes]], threshold: float = 0.75, radius: int = RADIUS):
-        self.threshold, self.radius = threshold, radius
+    def __init__(self, items: list[tuple[int, bytes]], threshold: float = 0.75):
+        self.threshold = threshold
         self.items = []
         for item_id, text in items:
             w = Words([text])
             if len(w.hashes):
                 s = shingle_hashes(w.hashes, SIZE)
-                self.items.append((item_id, len(w.hashes), s, Counter(s.tolist()), int(fingerprints(running(s), len(s))[0])))
+                self.items.append((item_id, len(w.hashes), s, Counter(s.tolist()), fingerprints(running(s), len(s))[0]))
         self.all = np.unique(np.concatenate([x[2] for x in self.items])) if self.items else np.zeros(0, np.uint64)
-        own = [np.unique(x[2]) for x in self.items]
-        shingle_of = np.searchsorted(self.all, np.concatenate(own)) if own else np.zeros(0, np.int64)
-        # The items that hold each shingle stand at owner_first[k]..owner_first[k + 1] of owners.
-        self.owners = np.repeat(np.arange(len(own)), [len(x) for x in own])[np.argsort(shingle_of, kind="stable")]
-        self.owner_first = np.concatenate(([0], np.cumsum(np.bincount(shingle_of, minlength=len(self.all)))))
         self.some = np.zeros(1 << 22, bool)  # by the first 22 bits: whether any item has such a shingle
         self.some[(self.all >> np.uint64(42)).astype(np.int64)] = True
         steps = grid([len(x[2]) for x in self.items if x[1] >= SIZE])
-        self.by_step: dict[int, list[int]] = {}
+        by_step: dict[int, list[int]] = {}
         for i, x in enumerate(self.items):
             if x[1] >= SIZE:
-                self.by_step.setdefault(steps[len(x[2])], []).append(i)
-        self.step_of = {i: step for step, who in self.by_step.items() for i in who}
-        self.sizes = np.array([len(x[2]) for x in self.items])
+                by_step.setdefault(steps[len(x[2])], []).append(i)
+        self.sizes = np.array([len(x[2]) for x in self.items], np.int64)
         self.short = [i for i, x in enumerate(self.items) if x[1] < SIZE]
-        self.near = {}
-        block = np.arange(1 << 16, dtype=np.uint32)
-        for step, who in self.by_step.items():
-            table = np.zeros((BLOCKS, 1 << 16), bool)
-            for i in who:
-                for b in range(BLOCKS):
-                    table[b] |= _POP[block ^ np.uint32((self.items[i][4] >> (16 * b)) & 0xFFFF)] <= radius // BLOCKS
-            self.near[step] = table
-
-    def possible(self, hits: np.ndarray) -> dict[int, list[int]]:
-        """By step, the items that can stand among ``hits``, a stretch's shingles that some item has: a window's
-        similarity with an item is at most the number of the item's shingles in it over the item's size."""
-        which, many = np.unique(np.searchsorted(self.all, hits), return_counts=True)
-        n = self.owner_first[which + 1] - self.owner_first[which]
-        at = np.repeat(self.owner_first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        items, of = np.unique(self.owners[at], return_inverse=True)
-        found = np.bincount(of, np.repeat(many, n))
-        out: dict[int, list[int]] = {}
-        for i in items[found >= self.threshold * self.sizes[items]].tolist():
-            if i in self.step_of:
-                out.setdefault(self.step_of[i], []).append(i)
-        return out
+        self.by_step = {step: (np.array(who), Index(np.stack([self.items[i][4] for i in who]))) for step, who in by_step.items()}
 
-    def windows(self, hashes: np.ndarray, before: np.ndarray, begin: int, by_step: dict[int, list[int]]) -> list[tuple[int, int]]:
+    def windows(self, hashes: np.ndarray, before: np.ndarray, begin: int) -> list[tuple[int, int]]:
         """(item, place) of every window of ``hashes`` within the radius of an item of its length, unless no item-sized
         window around it can be similar: ``before`` counts the whole text's shingles of any item up to each place;
         ``hashes`` begin at ``begin``."""
         found = []
-        sums = running(hashes) if by_step else None
+        sums = running(hashes)
         n, end = len(hashes), len(before) - 1
-        for step, who in by_step.items():
+        for step, (who, index) in self.by_step.items():
             length = min(step, n)  # a text a little shorter than the step is one window
             if length < 0.7 * step:
                 continue
-            prints = fingerprints(sums, length)
-            parts = prints.view(np.uint16).reshape(-1, 4)
-            table = self.near[step]
-            at = np.flatnonzero(table[0][parts[:, 0]] | table[1][parts[:, 1]] | table[2][parts[:, 2]] | table[3][parts[:, 3]])
-            if not len(at):
-                continue
-            chosen = prints[at]
-            for i in who:
-                near = at[_POP[(chosen ^ np.uint64(self.items[i][4])).view(np.uint16).reshape(-1, 4)].sum(1) <= self.radius]
-                size = len(self.items[i][2])
-                near = near + begin
-                around = before[np.minimum(end, near + size + size // 4)] - before[np.maximum(0, near - size // 4)]
-                found.extend((i, int(k)) for k in near[around >= self.threshold * size])
+            w, i = index.near(fingerprints(sums, length))
+            place, size = w + begin, self.sizes[who[i]]
+            around = before[np.minimum(end, place + size + size // 4)] - before[np.maximum(0, place - size // 4)]
+            good = around >= self.threshold * size
+            found.extend(zip(who[i[good]].tolist(), place[good].tolist(), strict=True))
         return found
 
     def leaks(self, words: np.ndarray) -> dict[int, tuple[float, int]]:
@@ -148,9 +145,8 @@ class Items:
             gap = np.flatnonzero(np.diff(at) > 2 * reach)
             for a, b in zip(at[np.append(0, gap + 1)], at[np.append(gap, len(at) - 1)], strict=True):
                 lo, hi = max(0, int(a) - reach), min(len(hashes), int(b) + reach)
-                by_step = self.possible(hashes[lo:hi][hit[lo:hi]])
                 for k in range(lo, max(lo + 1, hi - longest), PIECE):
-                    candidates += self.windows(hashes[k : min(hi, k + PIECE + longest)], before, k, by_step)
+                    candidates += self.windows(hashes[k : min(hi, k + PIECE + longest)], before, k)
         done: set[tuple[int, int]] = set()
         for i, place in candidates:
             item_id, _, shingles, weights, _ = self.items[i]
@@ -199,11 +195,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75) -> Dat
     more with it; an item of fewer than five words, if it stands there word for word. first_word: where the best
     such window begins, from 0. Null and empty texts and items hold and are nothing. Repeated document rows repeat
     their leaks; repeated items are reported by their least item_id and null item_ids are left out. The benchmark's
-    size is checked before it goes to all tasks: over 64 MB of text it is taken in parts of that size.
+    size is checked before it goes to all tasks: over 64 MB of text or 4,096 items it is taken in parts of about that size.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // MOST_ITEM_BYTES))
+    parts = max(1, -(-size // MOST_ITEM_BYTES), -(-items.count() // MOST_ITEMS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for part in range(parts):
@@ -213,9 +209,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75) -> Dat
     return out
 
 
+_KNOWN: dict[tuple, Items] = {}
+
+
+def _items(items: list[tuple[int, bytes]], threshold: float) -> Items:
+    """The index of these items; a worker keeps the last one that it made."""
+    key = (threshold, tuple(items))
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = Items(items, threshold)
+    return _KNOWN[key]
+
+
 def _search(items: list[tuple[int, bytes]], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Items(items, threshold)
+        known = _items(items, threshold)
         for b in slices(batches):
             w = Words(texts(b))
             ids, found = b.column("doc_id").to_pylist(), []
