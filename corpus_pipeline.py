@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeshred.llm import bitpack, decontam, mixing, quality, setsketch
-from treeshred.llm.common import table, written
+from treeshred.llm.common import release, table, tables_written, written
 from treeshred.llm.queries import tokenizer_path
 
 #: A classifier and sketches have no SQL form; tests/llm holds every stage against a brute-force version.
@@ -98,10 +98,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents, each stage's result written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the table of documents, each stage's result written to the shared folder and read by the next. What
+    a stage has written for itself, and its input, are dropped when its result is written."""
+    docs, since = table(spark, sf_dir, "documents"), tables_written()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage{k}")
+            release(spark, since, f"stage{k}-")
     return docs
