@@ -22,6 +22,24 @@ from treeshred.streaming.shred_stream import shred_stream
 FLEET = '<fleet><ships><ship no="7" port="Kiel"><name>Elbe</name></ship><ship no="12" port="Bremen"><name>Weser</name><crew>31</crew></ship><ship no="15" port="Bremen"><name>Ems</name></ship></ships><pilots><pilot>Ole</pilot></pilots></fleet>'
 
 
+@pytest.fixture(scope="module")
+def fleet(spark):
+    return nodes(spark.createDataFrame([(1, FLEET)], "doc_id long, source string")).persist()
+
+
+@pytest.fixture(scope="module")
+def thicket(spark):
+    """Documents of nested a and b, at random."""
+    rng = random.Random(11)
+
+    def some(depth):
+        kids = "".join(some(depth + 1) for _ in range(rng.randint(0, 3))) if depth < 5 else "t"
+        tag = rng.choice("aab")
+        return f'<{tag} k="{rng.randint(1, 2)}">{kids}</{tag}>' if rng.random() < 0.7 else f"<{tag}>{kids}</{tag}>"
+
+    return nodes(spark.createDataFrame([(i, f"<r>{''.join(some(1) for _ in range(6))}</r>") for i in range(4)], "doc_id long, source string")).persist()
+
+
 def column(spark, expr, value):
     return spark.createDataFrame([(value,)], "x string").select(expr(F.col("x"))).first()[0]
 
@@ -112,21 +130,14 @@ def test_tokens(xml):
         ("//ship/@no/..", []),
     ],
 )
-def test_xpath(xml, path, found):
-    rows = xpath(nodes(xml(FLEET)), path).orderBy("ord").collect()
+def test_xpath(fleet, path, found):
+    rows = xpath(fleet, path).orderBy("ord").collect()
     assert [r.value if r.value is not None else r.tag for r in rows] == found
 
 
 @pytest.mark.parametrize("path", ["/r/a/b", "/r/*/b[2]", "//a/b", "//b[@k]", "//a//b", "//b[3]/text()", "//a/b[last()]", "/r/a[@k='1'][2]/b", "//b/..", "//*/a/node()", "//a[1]/a/b"])
-def test_xpath_single_pass_is_that_of_joins(xml, path):
-    rng = random.Random(path)
-
-    def some(depth):
-        kids = "".join(some(depth + 1) for _ in range(rng.randint(0, 3))) if depth < 5 else "t"
-        tag = rng.choice("aab")
-        return f'<{tag} k="{rng.randint(1, 2)}">{kids}</{tag}>' if rng.random() < 0.7 else f"<{tag}>{kids}</{tag}>"
-
-    tree = nodes(xml(*[f"<r>{''.join(some(1) for _ in range(6))}</r>" for _ in range(4)])).persist()
+def test_xpath_single_pass_is_that_of_joins(thicket, path):
+    tree = thicket
     show = lambda df: [(r.doc_id, r.node_id) for r in df.orderBy("doc_id", "ord").collect()]
     assert show(xpath(tree, path)) == show(xpath(tree, path, documents(tree)))
 
