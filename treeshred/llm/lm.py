@@ -136,15 +136,29 @@ class Automaton:
         self.unigram = (c + 1) / (tokens + types + 1)
         with np.errstate(divide="ignore", invalid="ignore"):
             self.failure = np.where(c > 0, DISCOUNT * n / c, 1.0)
-            seen = np.where(arc_count > 0, (arc_count - DISCOUNT) / c[arc_state], 0.0)
-        self.arc = seen + self.failure[arc_state] * self.unigram[arc_word]  # an arc not seen is the failure path
-        self.arc_score, self.base = np.log10(self.arc), np.log10(self.unigram)
+            self.arc = (arc_count - DISCOUNT) / c[arc_state] + self.failure[arc_state] * self.unigram[arc_word]
+            self.arc_weight = np.where(arc_count > 0, np.log10(self.arc), np.nan)  # not a number: no such arc
+            self.failure_weight, self.base = np.log10(self.failure), np.log10(self.unigram)
+        self.arc = np.where(arc_count > 0, self.arc, self.failure[arc_state] * self.unigram[arc_word])
 
     def read(self, arcs: np.ndarray, words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Model and base score of each text, whose tokens follow each other in ``arcs`` and ``words``."""
+        """Model and base score of each text, whose tokens follow each other in ``words``; ``arcs`` has, for each token, the
+        arc by which it would leave the state before it. A text is walked once, from the last state (the start): by the
+        arc where there is one, and else by the state's failure arc and on from the unigram state."""
         if not len(begins):
             return np.zeros(0), np.zeros(0)
-        return np.add.reduceat(self.arc_score[arcs], begins), np.add.reduceat(self.base[words], begins)
+        arc, failure, base = self.arc_weight.tolist(), self.failure_weight.tolist(), self.base.tolist()
+        model, start = np.empty(len(begins)), len(failure) - 1
+        for i, (b, e) in enumerate(zip(begins, np.append(begins[1:], len(words)), strict=True)):
+            state, total = start, 0.0
+            for a, w in zip(arcs[b:e].tolist(), words[b:e].tolist(), strict=True):
+                weight = arc[a]
+                if weight != weight:
+                    weight = failure[state] + base[w]
+                total += weight
+                state = w
+            model[i] = total
+        return model, np.add.reduceat(self.base[words], begins)
 
 
 def score(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
