@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_folder, partitions, slices, span_hashes, texts, written
+from .common import forget, fresh_folder, kept, partitions, slices, span_hashes, texts, written
 
 MAGIC, BLOCK, FOOTER = b"TSBITS01", 1 << 15, 48
 
@@ -268,13 +268,8 @@ class Encoder:
         return [special[i] if i in special else ids[first_id[i] : first_id[i + 1]] for i in range(len(values))]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str, files: int) -> DataFrame:
@@ -308,6 +303,7 @@ def read_ids(manifest: DataFrame, at_once: int = 1 << 20) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files; start counts the ids of all before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             for path, before in zip(b.column("path").to_pylist(), b.column("before").to_pylist(), strict=True):
                 r = Reader(path)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +127,28 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", rows: int = 51
             yield b.slice(began)
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives. A worker, which tasks of many stages share, keeps one such thing at a time: it is there while
+    tasks ask for the same key, and goes when one asks for another or calls forget()."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drops what this worker keeps and gives the memory that it has freed back to the machine. Tasks that keep nothing
+    call it as they begin, so that they don't share an executor's memory with what an earlier operator kept."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries than glibc have none
+    if trim:
+        trim(0)
+
+
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, shingle_hashes, slices, texts
+from .common import Words, kept, mix, shingle_hashes, slices, texts
 
 SIZE, RADIUS, BLOCKS = 5, 29, 6
 MOST_ITEM_BYTES, MOST_ITEMS = 64 << 20, 4096  # of one index: 60 KB an item
@@ -209,16 +209,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75) -> Dat
     return out
 
 
-_KNOWN: dict[tuple, Items] = {}
-
-
 def _items(items: list[tuple[int, bytes]], threshold: float) -> Items:
-    """The index of these items; a worker keeps the last one that it made."""
-    key = (threshold, tuple(items))
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[key] = Items(items, threshold)
-    return _KNOWN[key]
+    """The index of these items, which a worker keeps."""
+    return kept(("items", threshold, tuple(items)), lambda: Items(items, threshold))
 
 
 def _search(items: list[tuple[int, bytes]], threshold: float):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, held_out, slices, texts
+from .common import Words, forget, held_out, slices, texts
 
 PASSAGE, HASHED = 64, 128
 _CLASSES = np.zeros(256, np.uint8)
@@ -136,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000, most_passages: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in slices(batches):
             x, first = passages(texts(b))
             keep = [np.unique(np.linspace(first[i], first[i + 1] - 1, min(most_passages, first[i + 1] - first[i])).astype(int)) for i in range(b.num_rows)]
@@ -162,6 +163,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str]
     null and empty ones are a passage without features. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in slices(batches):
             y = model.scores(texts(b))
             yield pa.record_batch([b.column("_id"), pa.array(y, pa.float64()), pa.array((y >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
@@ -173,6 +175,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str]
     wide = docs.select(*keep)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in slices(batches, text):
             y = model.scores(texts(b, text))
             yield pa.record_batch([*b.columns, pa.array(y, pa.float64()), pa.array((y >= threshold).astype(np.int32))], [*b.schema.names, "_score", "_predicted"])

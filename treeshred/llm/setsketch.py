@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, shingle_hashes, slices, texts, written
+from .common import Words, forget, mix, shingle_hashes, slices, texts, written
 from .graph import components
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
@@ -92,6 +92,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        forget()
         for b in slices(batches):
             sets = list(_sets(b))
             low = np.array([minima(s) for s in sets]).reshape(-1, REGISTERS)
@@ -111,6 +112,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for b in batches:
         if b.num_rows:
             keys = band_keys(np.frombuffer(b"".join(b.column("regs").to_pylist()), np.uint16))
@@ -119,6 +121,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _plausible(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             if b.num_rows:
                 side = lambda x: np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint16).reshape(-1, REGISTERS)
@@ -138,6 +141,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in slices(batches, "tb", 128):
             keep = [similar(x, y, percent) for x, y in zip(_sets(b, "ta"), _sets(b, "tb"), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))

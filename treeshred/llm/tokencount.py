@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import kept, slices, texts
 
 SPACE = "▁"
 
@@ -138,13 +138,8 @@ class PrefixCounter:
         return total, 0
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 def counter(model_file: str) -> PrefixCounter:
-    if model_file not in _COUNTERS:
-        _COUNTERS[model_file] = PrefixCounter(model_file)
-    return _COUNTERS[model_file]
+    return kept(("counter", model_file), lambda: PrefixCounter(model_file))
 
 
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, prefixes: bool = False) -> DataFrame:
