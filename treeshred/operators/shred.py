@@ -1,106 +1,23 @@
-"""Shredding: documents to the relation of nodes, by windows over their lexemes.
+"""Shredding: documents to the relation of nodes.
 
 (node_id, last_desc) encode a subtree as an interval: what a node contains are the rows of its document with a
-node_id in it. The Document is node 1 at depth 1. All windows lie within a document, so the deal by doc_id that
-lexemes() makes serves them all.
+node_id in it. The Document is node 1 at depth 1.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.scalars import normalize_attr_ws, unescape
-from .lex import NAME_CHARS, attributes, lexemes, pi_target, tag_name
+from .trees import trees, unpacked
 
 COLUMNS = ["doc_id", "node_id", "parent_id", "child_pos", "kind", "tag", "value", "attrs", "depth", "last_desc", "span_start", "span_end"]
-# What the lexemes are as nodes.
-KINDS = {"document": "Document", "text": "Text", "comment": "Comment", "cdata": "CData", "doctype": "DTD", "declaration": "Declaration", "pi": "ProcessingInstruction", "open": "Element", "empty": "Element"}
-
-
-def placed(docs: DataFrame) -> DataFrame:
-    """Lexemes with their byte offset, level (an element's own depth for its tags), running node count and, for a tag,
-    its match: ``open_id``, ``open_name`` of the element that a closing tag meets, ``close_seq``, ``close_end`` and
-    ``close_nodes`` of the tag that closes an open one; of nodes ``parent_id`` and ``child_pos``. Two sorts, by seq and
-    by depth and seq, serve it all."""
-    by_seq = Window.partitionBy("doc_id", "doc_no").orderBy("seq")
-    running = by_seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kind = F.col("kind")
-    step = F.when(kind.isin("open", "document"), 1).when(kind == "close", -1).otherwise(0)
-    rows = (
-        lexemes(docs)
-        .withColumn("_after", F.sum(step).over(running))
-        .withColumn("end", F.sum("size").over(running).cast("int"))
-        .withColumn("node_id", F.count(F.when(kind != "close", 1)).over(running).cast("int"))
-        .withColumn("_above", F.lag(kind.isin("open", "document")).over(by_seq))
-        .withColumn("start", (F.col("end") - F.col("size")).cast("int"))
-        .withColumn("name", F.when(kind.isin("open", "empty", "close"), tag_name(F.col("raw"))))
-        .withColumn("depth", F.when(kind.isin("open", "document"), F.col("_after")).otherwise(F.col("_after") + 1).cast("int"))
-        # What follows an opening tag is its first child, or closes it; a first child's parent is the node before it.
-        .withColumn("_parent", F.when((kind != "close") & F.col("_above"), F.col("node_id") - 1))
-        .withColumn("_tag", F.when(kind.isin("open", "close", "document"), F.struct("seq", "end", "node_id", "name", "kind")))
-        .drop("_after", "_above")
-    )
-    # Along one depth the children of a node are neighbours, and a tag's match is the next or last tag.
-    level = Window.partitionBy("doc_id", "doc_no", "depth").orderBy("seq")
-    so_far = level.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = (
-        rows.withColumn("_last", F.expr("lag(_tag) ignore nulls over (partition by doc_id, doc_no, depth order by seq)"))
-        .withColumn("_next", F.expr("lead(_tag) ignore nulls over (partition by doc_id, doc_no, depth order by seq)"))
-        .withColumn("parent_id", F.when(kind != "close", F.last("_parent", ignorenulls=True).over(so_far)))
-        .withColumn("_nth", F.count(F.when(kind != "close", 1)).over(so_far))
-        .withColumn("_first", F.last(F.when(F.col("_parent").isNotNull(), F.col("_nth")), ignorenulls=True).over(so_far))
-    )
-    shuts, shut = (kind == "close") & (F.col("_last.kind") == "open"), (kind == "open") & (F.col("_next.kind") == "close")
-    return found.select(
-        "doc_id", "doc_no", "seq", "raw", "kind", "size", "complete", "start", "end", "node_id", "name", "depth", "parent_id",
-        F.when(F.col("parent_id").isNotNull(), F.col("_nth") - F.col("_first") + 1).cast("int").alias("child_pos"),
-        F.when(shuts, F.col("_last.node_id")).alias("open_id"),
-        F.when(shuts, F.col("_last.name")).alias("open_name"),
-        F.when(shut, F.col("_next.seq")).alias("close_seq"),
-        F.when(shut, F.col("_next.end")).alias("close_end"),
-        F.when(shut, F.col("_next.node_id")).alias("close_nodes"),
-    )
-
-
-def attrs_of(raw: Column, decode: bool = True) -> Column:
-    plain = lambda v: F.substring(v, F.lit(2), F.length(v) - 2)
-    value = (lambda v: unescape(normalize_attr_ws(plain(v)))) if decode else plain
-    return F.transform(attributes(raw), lambda a: F.struct(a["name"].alias("name"), value(a["value"]).alias("value")))
 
 
 def nodes(docs: DataFrame, decode: bool = True) -> DataFrame:
     """The nodes of (doc_id, source), columns as in COLUMNS. Documents that don't lex or nest give what can be told of
     them (a node after a stray closing tag has no parent and no child_pos); validate() says which these are. Without
     ``decode`` entities stay as they are written. Rows that share a doc_id, or have none, are trees of their own here, but
-    navigation finds nodes by doc_id and node_id: number such documents first (sources.documents.numbered)."""
-    raw, kind = F.col("raw"), F.col("kind")
-    inner = lambda a, b: F.substring(raw, F.lit(a + 1), F.length(raw) - a - b)
-    pi_body = F.ltrim(F.regexp_replace(raw, rf"^<\?{NAME_CHARS}*+|\?>$", ""), F.lit(" \t\r\n"))
-    value = (
-        F.when(kind == "text", unescape(raw) if decode else raw)
-        .when(kind == "comment", inner(4, 3))
-        .when(kind == "cdata", inner(9, 3))
-        .when(kind == "doctype", F.ltrim(F.regexp_replace(raw, rf"^<!{NAME_CHARS}*+|>$", ""), F.lit(" \t\r\n")))
-        .when((kind == "pi") & (pi_body != ""), pi_body)
-    )
-    name = F.lit(None).cast("string")
-    for lexeme, node in KINDS.items():
-        name = F.when(kind == lexeme, F.lit(node)).otherwise(name)
-    whole = Window.partitionBy("doc_id", "doc_no")
-    rows = placed(docs).withColumn("_most", F.max("node_id").over(whole)).withColumn("_end", F.max("end").over(whole)).where(kind != "close")
-    is_doc = kind == "document"
-    return rows.select(
-        "doc_id",
-        "node_id",
-        "parent_id",
-        "child_pos",
-        name.alias("kind"),
-        F.when(kind == "pi", pi_target(raw)).otherwise(F.col("name")).alias("tag"),
-        value.alias("value"),
-        F.when(kind.isin("open", "empty", "declaration"), attrs_of(raw, decode)).otherwise(F.expr("cast(array() as array<struct<name:string,value:string>>)")).alias("attrs"),
-        "depth",
-        F.when(is_doc, F.col("_most")).when(kind == "open", F.coalesce("close_nodes", "_most")).otherwise(F.col("node_id")).cast("int").alias("last_desc"),
-        F.col("start").alias("span_start"),
-        F.when(is_doc, F.col("_end")).when(kind == "open", F.coalesce("close_end", "_end")).otherwise(F.col("end")).cast("int").alias("span_end"),
-    )
+    navigation finds nodes by doc_id and node_id: number such documents first (sources.documents.numbered).
+
+    Documents are dealt by doc_id first, so that windows and sums over a document's nodes need no other shuffle."""
+    return unpacked(trees(docs.select("doc_id", "source").repartition("doc_id"), decode))
