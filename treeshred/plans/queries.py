@@ -14,6 +14,7 @@ from ..operators.lex import lexemes, tokens
 from ..operators.mutate import push, push_first, remove, replace, set_attr
 from ..operators.serialize import serialize, serialize_subtrees
 from ..operators.shred import nodes
+from ..operators.trees import trees, unpacked
 from ..operators.validate import validate
 from ..sources.documents import numbered
 from .xpath import context, xpath
@@ -59,8 +60,13 @@ def region_docs(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(F.col("r_regionkey").cast("long").alias("doc_id"), element("region", Markup(F.coalesce("inner", F.lit(""))), name=F.col("r_name")).column.alias("source"))
 
 
+def _order_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """A row a document: what is asked of each stays where the document is, and needs no table of nodes."""
+    return trees(order_docs(spark, sf))
+
+
 def _order_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return nodes(order_docs(spark, sf))
+    return unpacked(_order_trees(spark, sf))
 
 
 def _kept_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +85,7 @@ _DOCS = f"(SELECT o_orderkey, o_orderstatus, {_HEAD} || coalesce(string_agg({_IT
 
 @_query("xpath_flagship", "SELECT l_orderkey AS doc_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey")
 def _flagship(spark, sf):
-    found = xpath(_order_nodes(spark, sf), "//item[@flag='R']/qty/text()")
+    found = xpath(_order_trees(spark, sf), "//item[@flag='R']/qty/text()")
     return found.groupBy("doc_id").agg(F.sum(F.col("value").cast("long")).alias("qty"), F.count(F.lit(1)).alias("n"))
 
 
@@ -165,7 +171,7 @@ def _repeated(spark, sf):
     docs, orders = order_docs(spark, sf), _table(spark, sf, "orders")
     key = F.when(F.col("o_orderstatus") != "P", F.col("o_custkey"))
     shared = docs.join(orders, docs["doc_id"] == orders["o_orderkey"]).select(key.alias("doc_id"), "source")
-    whole = nodes(shared).where("kind = 'Document'")
+    whole = unpacked(trees(shared)).where("kind = 'Document'")
     return whole.groupBy("doc_id").agg(F.count(F.lit(1)).alias("docs"), F.sum("last_desc").alias("nodes"), F.max("last_desc").alias("largest"))
 
 
@@ -228,7 +234,7 @@ def _simple(spark, sf):
 def _path(name: str, expression: str, sql: str, columns: Callable[[DataFrame], DataFrame], docs=order_docs):
     @_query(name, sql)
     def run(spark, sf):
-        return columns(xpath(nodes(docs(spark, sf)), expression))
+        return columns(xpath(trees(docs(spark, sf)), expression))
 
 
 _per_doc = lambda df: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

@@ -1,6 +1,7 @@
 """XPath expressions compiled to one lazy DataFrame plan over the node relation.
 
-A path of child steps from the documents, with or without ``//`` before its first name, reads the node relation once: a
+Packed trees (operators.trees) are asked where they stand, whole paths at once and by places in arrays: nothing is joined,
+sorted or shuffled. What follows is of the node relation. A path of child steps from the documents, with or without ``//`` before its first name, reads the node relation once: a
 node's parent is found by windows, and documents aren't shuffled again. What follows ``..`` or a further ``//`` joins the
 relation again for each step: write it to a table, or cache it, for such paths.
 
@@ -14,10 +15,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.interval import within
+from ..operators.trees import ATTRS, Batch, in_chunks, is_packed, offsets, packed, ranges, unpacked
 
 NODE = ["node_id", "parent_id", "kind", "tag", "value", "attrs", "last_desc", "depth"]
 _NAME = r"[A-Za-z0-9_\-.:\u0080-\U0010FFFF]+"
@@ -106,6 +111,10 @@ def xpath(nodes: DataFrame, expression: str, start: DataFrame | None = None) ->
     node_id. Sort by (doc_id, ctx_id, ord) for the order of the result.
     """
     steps = parse(expression)
+    if is_packed(nodes):
+        if start is not None:
+            raise ValueError("packed trees are asked from their documents; unpack them for another context")
+        return _in_trees(nodes, steps)
     now = start if start is not None else documents(nodes)
     at_root = start is None  # the context is exactly the documents
     if not steps:
@@ -143,6 +152,102 @@ def xpath(nodes: DataFrame, expression: str, start: DataFrame | None = None) ->
 
 _TESTS = ("name", "any", "text", "node")
 
+_FOUND = f"array<struct<ctx_id:int,node_id:int,parent_id:int,kind:string,tag:string,value:string,attrs:{ATTRS},last_desc:int,depth:int,ord:array<int>>>"
+
+
+def _in_trees(trees: DataFrame, steps: list[Step]) -> DataFrame:
+    if not steps:
+        return unpacked(trees.select("doc_id", F.array().cast(_FOUND).alias("tree")))
+
+    def find(column: pa.Array) -> pa.Array:
+        counts = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+        return in_chunks(counts * 64, lambda i, j: _found(Batch(column[i:j]), steps))
+
+    return unpacked(trees.select("doc_id", F.arrow_udf(find, _FOUND)("tree").alias("tree")))
+
+
+def _found(b: Batch, steps: list[Step]) -> pa.Array:
+    """What the steps select in a batch: ``at`` are nodes' places, ``key`` what each step sorts by (0 for null). After a
+    step to an attribute ``attr`` has its place among the attributes, and there are no nodes."""
+    element = b.is_("kind", "Element")
+    tests = {"any": lambda s: element, "name": lambda s: element & b.is_("tag", s.name), "text": lambda s: b.is_("kind", "Text"), "node": lambda s: np.ones(len(b.doc), bool)}
+    at, attr = b.begin[b.counts > 0], None
+    key = np.zeros((len(at), 0), np.int64)
+    if any(s.kind in ("attribute", "has", "equals") for s in steps):
+        owner, _, names, values = b.attributes()
+    by_parent = None
+
+    def below(first: np.ndarray, keep: np.ndarray, keys) -> None:
+        nonlocal at, key
+        which, nodes = ranges(first, b.last[at] + 1 - first)
+        which, nodes = which[keep[nodes]], nodes[keep[nodes]]
+        at, key = nodes, np.column_stack([key[which], *[k[nodes] for k in keys]])
+
+    def take(rows: np.ndarray) -> None:
+        nonlocal at, key, attr
+        at, key = at[rows], key[rows]
+        attr = attr[rows] if attr is not None else None
+
+    def holders(step: Step) -> np.ndarray:
+        """The attributes that a predicate or step names."""
+        named = np.asarray(pc.fill_null(pc.equal(names, step.name), False)).astype(bool)
+        return named & np.asarray(pc.fill_null(pc.equal(values, step.value), False)).astype(bool) if step.kind == "equals" else named
+
+    k = 0
+    while k < len(steps):
+        step, after = steps[k], steps[k + 1] if k + 1 < len(steps) else None
+        k += 1
+        if step.kind == "self":
+            continue
+        if step.kind in ("nth", "last"):
+            n = 1 if step.kind == "last" else int(step.value)
+            order = np.lexsort((*reversed([c if step.kind == "nth" else -c for c in key.T]), b.doc[at]))
+            doc = b.doc[at][order]
+            rank = np.arange(len(doc)) - np.searchsorted(doc, doc) + 1
+            take(np.sort(order[rank == n]))
+        elif attr is not None:
+            take(np.zeros(0, np.int64))  # an attribute has neither nodes around it nor attributes
+        elif step.kind == "descend" and after is not None and after.kind in _TESTS:
+            below(at + 1, tests[after.kind](after), (b.parent_id, b.node_id))
+            k += 1
+        elif step.kind == "descend":
+            below(at, np.ones(len(b.doc), bool), (b.node_id,))
+        elif step.kind in _TESTS:
+            if by_parent is None:
+                by_parent = np.argsort(b.up, kind="stable")
+                kids = np.bincount(b.up[b.up >= 0], minlength=len(b.doc))
+                where = np.cumsum(kids) - kids + np.count_nonzero(b.up < 0)
+            which, places = ranges(where[at], kids[at])
+            nodes, keep = by_parent[places], tests[step.kind](step)
+            which, nodes = which[keep[nodes]], nodes[keep[nodes]]
+            at, key = nodes, np.column_stack([key[which], b.node_id[nodes]])
+        elif step.kind == "parent":
+            take(np.flatnonzero((b.node_id[at] != 1) & (b.up[at] >= 0)))
+            at = b.up[at]
+        elif step.kind == "attribute":
+            some = np.flatnonzero(holders(step))
+            first = np.full(len(b.doc), -1)
+            first[owner[some[::-1]]] = some[::-1]
+            attr = first[at]
+            take(np.flatnonzero(attr >= 0))
+        else:
+            has = np.zeros(len(b.doc), bool)
+            has[owner[holders(step)]] = True
+            take(np.flatnonzero((has & element)[at]))
+    order = np.argsort(b.doc[at], kind="stable")
+    take(order)
+    rows, field = pa.array(at), b.nodes.field
+    none = attr is not None
+    number = lambda name: pa.nulls(len(at), pa.int32()) if none else field(name).take(rows)
+    kind = pa.array(["Text"] * len(at), pa.string()) if none else field("kind").take(rows)
+    tag = pa.nulls(len(at), pa.string()) if none else field("tag").take(rows)
+    value = values.take(pa.array(attr)) if none else field("value").take(rows)
+    attrs = pa.array([[]] * len(at), field("attrs").type) if none else field("attrs").take(rows)
+    flat = key.ravel()
+    ords = pa.ListArray.from_arrays(offsets(np.full(len(at), key.shape[1])), pa.array(flat.astype(np.int32), mask=flat == 0))
+    columns = [pa.array(np.ones(len(at), np.int32)), number("node_id"), number("parent_id"), kind, tag, value, attrs, number("last_desc"), number("depth"), ords]
+    return packed(np.bincount(b.doc[at], minlength=len(b.counts)), columns, ["ctx_id", *NODE, "ord"])
+
 
 def _holds(step: Step) -> Column:
     own = (lambda a: a["name"] == step.name) if step.kind == "has" else (lambda a: (a["name"] == step.name) & (a["value"] == step.value))
