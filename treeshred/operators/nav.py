@@ -1,8 +1,12 @@
-"""Navigation, accessors, source spans, equality: joins and expressions over the node relation."""
+"""Navigation, accessors, source spans, equality: joins and expressions over the node relation.
+
+Of packed trees (trees.py), which stand where the node relation does, the nodes asked about are told by a function of a
+node; a node is then found by its place in its document, and nothing is joined, sorted or shuffled.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +14,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .interval import within
+from .trees import FIELDS, is_packed, node_at, subtree, unpacked
+
+Nodes = DataFrame | Callable[[Column], Column]  # rows of the node relation, or which nodes of packed trees
+
+
+def _each(trees: DataFrame, found: Column) -> DataFrame:
+    return unpacked(trees.select("doc_id", found.alias("tree")))
+
+
+def _row(of: Column, n: Column) -> Column:
+    return F.struct(of.alias("of"), *[n[c].alias(c) for c in FIELDS])
+
+
+def _below(of: Callable[[Column], Column], trees: DataFrame, test: Callable[[Column, Column], Column]) -> DataFrame:
+    """The children that pass a test of (parent, child), by their parents."""
+    found = F.filter("tree", lambda n: n["parent_id"].isNotNull() & of(node_at(n["parent_id"])) & test(node_at(n["parent_id"]), n))
+    return _each(trees, F.transform(found, lambda n: _row(n["parent_id"], n)))
 
 
 def _pairs(a: DataFrame, b: DataFrame, cond) -> DataFrame:
@@ -18,24 +39,36 @@ def _pairs(a: DataFrame, b: DataFrame, cond) -> DataFrame:
     return left.join(b, (b["doc_id"] == left["_d"]) & cond(left, b)).drop("_d", "_p", "_l")
 
 
-def children(of: DataFrame, nodes: DataFrame) -> DataFrame:
+def children(of: Nodes, nodes: DataFrame) -> DataFrame:
+    if is_packed(nodes):
+        return _below(of, nodes, lambda p, n: F.lit(True))
     return _pairs(of, nodes, lambda a, b: b["parent_id"] == a["of"])
 
 
-def elements(of: DataFrame, nodes: DataFrame) -> DataFrame:
+def elements(of: Nodes, nodes: DataFrame) -> DataFrame:
+    if is_packed(nodes):
+        return _below(of, nodes, lambda p, n: n["kind"] == "Element")
     return children(of, nodes.where(F.col("kind") == "Element"))
 
 
-def child_at(of: DataFrame, nodes: DataFrame, position: int) -> DataFrame:
+def child_at(of: Nodes, nodes: DataFrame, position: int) -> DataFrame:
+    if is_packed(nodes):
+        return _below(of, nodes, lambda p, n: n["child_pos"] == position)
     return children(of, nodes.where(F.col("child_pos") == position))
 
 
-def parent(of: DataFrame, nodes: DataFrame) -> DataFrame:
+def parent(of: Nodes, nodes: DataFrame) -> DataFrame:
+    if is_packed(nodes):
+        return _each(nodes, F.transform(F.filter("tree", lambda n: of(n) & n["parent_id"].isNotNull()), lambda n: _row(n["node_id"], node_at(n["parent_id"]))))
     return _pairs(of, nodes, lambda a, b: b["node_id"] == a["_p"])
 
 
-def siblings(of: DataFrame, nodes: DataFrame) -> DataFrame:
+def siblings(of: Nodes, nodes: DataFrame) -> DataFrame:
     """The siblings of some nodes, a row a pair. For all nodes of a wide parent that is its square: see sibling_counts()."""
+    if is_packed(nodes):
+        beside = lambda o: F.filter(subtree(node_at(o["parent_id"])), lambda n: (n["parent_id"] == o["parent_id"]) & (n["node_id"] != o["node_id"]))
+        some = F.filter("tree", lambda n: of(n) & n["parent_id"].isNotNull())
+        return _each(nodes, F.flatten(F.transform(some, lambda o: F.transform(beside(o), lambda n: _row(o["node_id"], n)))))
     return _pairs(of, nodes, lambda a, b: (b["parent_id"] == a["_p"]) & (b["node_id"] != a["of"]))
 
 
@@ -58,8 +91,10 @@ def sibling_counts(of: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.select("doc_id", "node_id", F.coalesce(F.col("_k") - 1, F.lit(0)).alias("siblings"))
 
 
-def resume(of: DataFrame, nodes: DataFrame) -> DataFrame:
+def resume(of: Nodes, nodes: DataFrame) -> DataFrame:
     """Where reading goes on after each node's subtree is skipped: the one node that follows it, if any does."""
+    if is_packed(nodes):
+        return _each(nodes, F.transform(F.filter("tree", lambda n: of(n) & (n["last_desc"] < F.size("tree"))), lambda n: _row(n["node_id"], node_at(n["last_desc"] + 1))))
     return _pairs(of, nodes, lambda a, b: b["node_id"] == a["_l"] + 1)
 
 
@@ -74,8 +109,12 @@ def events(nodes: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.row_number().over(order).alias("seq"), F.col("_e.name").alias("event"), "node_id", "kind", "tag", "value", "attrs", "depth")
 
 
-def depth_below(of: DataFrame, roots: DataFrame) -> DataFrame:
-    """(doc_id, root, node_id, depth): how far each node lies below each of ``roots`` that holds it; 0 for itself."""
+def depth_below(of: Nodes, roots: Nodes, trees: DataFrame | None = None) -> DataFrame:
+    """(doc_id, root, node_id, depth): how far each node lies below each of ``roots`` that holds it; 0 for itself. Of packed
+    ``trees`` the node's tag comes too."""
+    if trees is not None:
+        row = lambda r, n: F.struct(r["node_id"].alias("root"), n["node_id"].alias("node_id"), (n["depth"] - r["depth"]).alias("depth"), n["tag"].alias("tag"))
+        return _each(trees, F.flatten(F.transform(F.filter("tree", roots), lambda r: F.transform(F.filter(subtree(r), of), lambda n: row(r, n)))))
     spans = roots.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("root"), F.col("last_desc").alias("_l"), F.col("depth").alias("_depth"))
     return within(spans, of, first="root").select("doc_id", "root", "node_id", (F.col("depth") - F.col("_depth")).alias("depth"))
 
@@ -114,20 +153,27 @@ def values() -> Column:
     return F.transform("attrs", lambda a: a["value"])
 
 
-def child_counts(of: DataFrame, nodes: DataFrame) -> DataFrame:
+def child_counts(of: Nodes, nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, length): how many children each node has, 0 for none."""
+    if is_packed(nodes):
+        many = lambda o: F.size(F.filter(subtree(o), lambda n: n["parent_id"] == o["node_id"])).cast("long")
+        return _each(nodes, F.transform(F.filter("tree", of), lambda o: F.struct(o["node_id"].alias("node_id"), many(o).alias("length"))))
     kids = nodes.where("parent_id is not null").groupBy(F.col("doc_id").alias("_d"), F.col("parent_id").alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
     j = of.join(kids, (of["doc_id"] == kids["_d"]) & (of["node_id"] == kids["_p"]), "left")
     return j.select("doc_id", "node_id", F.coalesce("_k", F.lit(0)).alias("length"))
 
 
-def last_child(of: DataFrame, nodes: DataFrame) -> DataFrame:
+def last_child(of: Nodes, nodes: DataFrame) -> DataFrame:
     """Each node's last child: the one whose subtree ends where its parent's does."""
+    if is_packed(nodes):
+        return _below(of, nodes, lambda p, n: n["last_desc"] == p["last_desc"])
     return _pairs(of, nodes, lambda a, b: (b["parent_id"] == a["of"]) & (b["last_desc"] == a["_l"]))
 
 
-def only_child(of: DataFrame, nodes: DataFrame) -> DataFrame:
+def only_child(of: Nodes, nodes: DataFrame) -> DataFrame:
     """The child of each node that has just one."""
+    if is_packed(nodes):
+        return _below(of, nodes, lambda p, n: (n["child_pos"] == 1) & (n["last_desc"] == p["last_desc"]))
     return _pairs(of, nodes.where("child_pos = 1"), lambda a, b: (b["parent_id"] == a["of"]) & (b["last_desc"] == a["_l"]))
 
 
@@ -139,6 +185,13 @@ def each_attribute(nodes: DataFrame) -> DataFrame:
 def simple_values(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, tag, is_simple, simple_value) of every Element: the value of its only child, if that is Text or
     CData, else null; is_simple also asks that it have no attributes."""
+    if is_packed(nodes):
+        def simple(n: Column) -> Column:
+            first = node_at(n["node_id"] + 1)  # an only child ends where its parent does
+            only = F.coalesce((first["parent_id"] == n["node_id"]) & (first["last_desc"] == n["last_desc"]) & first["kind"].isin("Text", "CData"), F.lit(False))
+            return F.struct(n["node_id"].alias("node_id"), n["tag"].alias("tag"), (only & (F.size(n["attrs"]) == 0)).alias("is_simple"), F.when(only, first["value"]).alias("simple_value"))
+
+        return _each(nodes, F.transform(F.filter("tree", lambda n: n["kind"] == "Element"), simple))
     kids = nodes.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("_p")).agg(F.count(F.lit(1)).alias("_k"), F.first(F.struct("kind", "value")).alias("_c"))
     own = nodes.where(F.col("kind") == "Element")
     j = own.join(kids.withColumnRenamed("doc_id", "_d"), (F.col("_d") == own["doc_id"]) & (F.col("_p") == own["node_id"]), "left")
@@ -191,9 +244,15 @@ def splice(nodes: DataFrame, docs: DataFrame, replacement: str = "") -> DataFram
     return _in_source(nodes, docs, whole, "string").select("doc_id", "node_id", F.col("of").alias("spliced"))
 
 
-def digests(roots: DataFrame, nodes: DataFrame) -> DataFrame:
+def digests(roots: Nodes, nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, digest): equal exactly for structurally equal subtrees. Attributes count without order,
     children with it; null and empty values differ."""
+    if is_packed(nodes):
+        def line(o: Column, n: Column) -> Column:
+            return F.struct((n["node_id"] - o["node_id"]).alias("n"), (n["depth"] - o["depth"]).alias("d"), n["kind"].alias("kind"), n["tag"].alias("tag"), n["value"].alias("value"), F.array_sort(n["attrs"]).alias("a"))
+
+        whole = lambda o: F.sha2(F.to_json(F.struct(F.transform(subtree(o), lambda n: line(o, n)).alias("r")), {"ignoreNullFields": "false"}), 256)
+        return _each(nodes, F.transform(F.filter("tree", roots), lambda o: F.struct(o["node_id"].alias("node_id"), whole(o).alias("digest"))))
     spans = roots.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("of"), F.col("last_desc").alias("_l"), F.col("depth").alias("_depth"))
     j = within(spans, nodes, first="of")
     row = F.struct((F.col("node_id") - F.col("of")).alias("n"), (F.col("depth") - F.col("_depth")).alias("d"), "kind", "tag", "value", F.array_sort("attrs").alias("a"))
